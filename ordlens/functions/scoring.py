@@ -27,6 +27,9 @@ COD_METHOD = "COD"
 RISK_THRESHOLD = 0.47          # t* of the tuned forest, fixed in the router
 MEDIUM_BAND = 0.15             # Medium = [t, t+0.15)
 POLICY_SIMILARITY_FLOOR = 0.40
+# Product classes of the image head, in class-id order.
+CLASS_NAMES = ["T-shirt/top", "Trouser", "Pullover", "Dress", "Coat", "Sandal", "Shirt", "Sneaker",
+               "Bag", "Ankle boot"]
 # --------------------------------------------------------------------------
 
 
@@ -45,7 +48,8 @@ def scorecard_logit(fit_risk_categories=FIT_RISK_CATEGORIES, cod_method=COD_METH
     c = SCORECARD
     ratio = prev_return_ratio(F.col("num_previous_orders"), F.col("num_previous_returns"))
     fit = F.col("product_category").isin(*fit_risk_categories).cast("double")
-    cod = (F.col("payment_method") == F.lit(cod_method)).cast("double")
+    cods = (cod_method,) if isinstance(cod_method, str) else tuple(cod_method)
+    cod = F.col("payment_method").isin(*cods).cast("double")
     return (F.lit(c["intercept"])
             + F.lit(c["prev_return_ratio"]) * ratio
             + F.lit(c["fit_risk"]) * fit
