@@ -67,7 +67,7 @@ def logistic(label: str = "label", weighted: bool = True, reg_param: float = 0.0
     """ML2: L2 logistic regression; ``reg_param = 1/(C * sum of weights)`` gives
     the C-parameterised objective."""
     lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg_param, elasticNetParam=0.0,
-                            standardization=False, maxIter=1000, tol=1e-9)
+                            standardization=False, maxIter=1000, tol=1e-6)
     if weighted:
         lr.setWeightCol("w")
     return lr

@@ -20,7 +20,7 @@ from ..operators import models as ML
 from ..operators import sampling as SM
 from ..operators import stats as ST
 from ..operators.features import FEATURE_ORDER, FEATURES_CATEGORICAL, FEATURES_NUMERIC
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.tables import Tables
 from . import orders as PO
 from .registry import query
@@ -92,7 +92,7 @@ imp AS (SELECT feature, round((SELECT auc FROM aucs WHERE feature = '__base__')
        "WITH " + _perm_sql() + "\nSELECT feature, importance_mean, importance_std, "
        "rank() OVER (ORDER BY importance_mean DESC) AS rank FROM imp")
 def q_permutation_importance(spark, sf_dir):
-    hold = PO.split_features(spark, sf_dir).where(F.col("split") == "test").drop("split", "rank_in_class")
+    hold = PO.split_features_table(spark, sf_dir).where(F.col("split") == "test").drop("split", "rank_in_class")
     return IM.permutation_importance(hold, "order_id", "returned", FEATURE_ORDER, _score_card,
                                      PO.PERM_REPEATS, PO.PERM_SEED)
 
@@ -100,7 +100,7 @@ def q_permutation_importance(spark, sf_dir):
 # ------------------------------------------------------- Spark ML models ---
 def _prepared(spark, sf_dir):
     """Split features with fold, class weights and the fitted prep stages."""
-    sp = PO.split_features(spark, sf_dir).withColumnRenamed("returned", "label")
+    sp = PO.split_features_table(spark, sf_dir).withColumnRenamed("returned", "label")
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
     folds = SM.stratified_folds(train.select("order_id", "label"), "label", "order_id", 5, PO.FOLD_SEED)
@@ -108,7 +108,9 @@ def _prepared(spark, sf_dir):
     weights = ST.class_weights(train, "label")
     train = ML.with_balanced_weights(train, "label", weights)
     test = ML.with_balanced_weights(test, "label", weights)
-    return train, test, weights
+    # fitting reads the training rows many times (statistics, solver passes,
+    # folds): materialise both sides once instead of re-deriving the features
+    return materialize(train, "train"), materialize(test, "test"), weights
 
 
 def _lr_reg(train: DataFrame) -> float:

@@ -14,6 +14,7 @@ from ..operators import features as FT
 from ..operators import metrics as M
 from ..operators import sampling as SM
 from ..operators import stats as ST
+from ..session import materialize
 from ..sources.tables import Tables
 from .registry import query
 
@@ -51,6 +52,12 @@ def split_features(spark, sf_dir) -> DataFrame:
     return SM.stratified_split(order_features(spark, sf_dir), "returned", "order_id", 0.2, SPLIT_SEED)
 
 
+def split_features_table(spark, sf_dir) -> DataFrame:
+    """:func:`split_features` written once as parquet in the shared checkpoint
+    folder, for queries that read it several times (fits, statistics)."""
+    return materialize(split_features(spark, sf_dir), "split_features")
+
+
 # ---------------------------------------------------------------- SQL ---
 _FIT = ", ".join(f"'{c}'" for c in FIT_RISK)
 
@@ -312,7 +319,7 @@ def q_folds(spark, sf_dir):
                  GROUP BY returned ORDER BY count(*) DESC, returned LIMIT 1) m
     WHERE split = 'test' GROUP BY m.majority""", SQL_SPLIT))
 def q_majority(spark, sf_dir):
-    return ST.majority_baseline(split_features(spark, sf_dir), "returned")
+    return ST.majority_baseline(split_features_table(spark, sf_dir), "returned")
 
 
 @query("class_weights", _with(
@@ -360,7 +367,7 @@ SQL_IMPUTE = SQL_SPLIT + _IMP_CTE
 
 @query("impute_stats", _with(_IMP_BODY, SQL_IMPUTE))
 def q_impute_stats(spark, sf_dir):
-    train = split_features(spark, sf_dir).where(F.col("split") == "train")
+    train = split_features_table(spark, sf_dir).where(F.col("split") == "train")
     return ST.impute_stats(train, FT.FEATURES_NUMERIC, FT.FEATURES_CATEGORICAL)
 
 
@@ -384,7 +391,7 @@ _SC_CTE, _SC_BODY = _scaled_sql()
 
 @query("imputed_scaled", _with(_SC_BODY, SQL_SPLIT + _SC_CTE))
 def q_imputed_scaled(spark, sf_dir):
-    sp = split_features(spark, sf_dir)
+    sp = split_features_table(spark, sf_dir)
     train = sp.where(F.col("split") == "train")
     # fit: exact medians, then moments of the imputed columns (full precision)
     med = ST.exact_medians(train, FT.FEATURES_NUMERIC)
