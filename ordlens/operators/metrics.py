@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import join_null_safe
 from ..functions.scoring import safe_div
 
 
@@ -79,7 +80,7 @@ def threshold_sweep(scored: DataFrame, lo: int = 10, hi: int = 90, scale: int =
     # group keys: bounded by grid size x number of groups
     keys = hist.select(*g).distinct() if g else spark.range(1).select()
     full = keys.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb))))
-    full = full.join(hist, g + ["_b"], "left").fillna(0, ["_pos", "_neg"])
+    full = join_null_safe(full, hist, g + ["_b"], "left").fillna(0, ["_pos", "_neg"])
     w_suffix = Window.partitionBy(*g).orderBy(F.col("_b").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     w_all = Window.partitionBy(*g)
@@ -118,7 +119,7 @@ def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=()
     w_b = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*g, "_bk", F.coalesce(F.sum("_bneg").over(w_b), F.lit(0)).alias("_off"))
     w_p = Window.partitionBy(*g, "_bk").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    contrib = (per_p.join(offsets, g + ["_bk"])
+    contrib = (join_null_safe(per_p, offsets, g + ["_bk"])
                .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(w_p), F.lit(0)))
                .withColumn("_c", F.col("_pos") * (F.col("_below") + 0.5 * F.col("_neg"))))
     agg = contrib.groupBy(*g).agg(F.sum("_c").alias("_num"), F.sum("_pos").alias("n_pos"),

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import join_null_safe
+
 
 def seeded_hash(seed, key_cols) -> Column:
     """First 32 bits of md5("seed:key") as a non-negative long."""
@@ -37,7 +39,7 @@ def ranked_within(df: DataFrame, class_cols, key_cols, seed, out: str = "rank_in
                            F.sum("_bn").over(Window.partitionBy(*cls)).alias("class_size"))
     # offsets holds at most (number of classes) x 2**bucket_bits rows
     w_in = Window.partitionBy(*cls, "_hb").orderBy("_h", *keys)
-    return (h.join(F.broadcast(offsets), cls + ["_hb"], "inner")
+    return (join_null_safe(h, F.broadcast(offsets), cls + ["_hb"], "inner")
             .withColumn(out, F.col("_off") + F.row_number().over(w_in))
             .drop("_h", "_hb", "_off"))
 

@@ -17,8 +17,8 @@ def write_matrix_csv(long_df: DataFrame, row_col: str, col_col: str, value_col:
 
     ``labels`` is the fixed class list, so the pivot needs no distinct pass.
     """
-    wide = (long_df.groupBy(row_col).pivot(col_col, labels)
-            .agg(F.coalesce(F.sum(value_col), F.lit(0))).orderBy(row_col))
+    wide = (long_df.groupBy(row_col).pivot(col_col, labels).agg(F.sum(value_col))
+            .fillna(0).orderBy(row_col))
     write_csv(wide, path)
 
 
