@@ -36,4 +36,4 @@ def test_entry_smoke(spark):
 def test_every_query_is_registered_with_a_callable():
     qs = E.queries()
     assert set(ORACLE) <= set(qs)
-    assert len(qs) >= 60
+    assert len(qs) >= 50
