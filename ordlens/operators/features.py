@@ -38,11 +38,11 @@ def line_aggregates(lineitem: DataFrame) -> DataFrame:
     """Per-order line statistics and the top line (highest price, then keys)."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                          "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-    top = F.min(F.struct(
-        (-F.col("l_extendedprice")).alias("neg_price"),
-        F.col("l_partkey").alias("partkey"),
-        F.col("l_suppkey").alias("suppkey"),
-        F.col("l_linenumber").alias("linenumber")))
+    # top line = arg-max of (price, then smallest partkey, suppkey, linenumber);
+    # max_by keeps a fixed-size buffer, so the aggregate stays map-side combined
+    top = F.max_by(F.struct(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey")),
+                   F.struct(F.col("l_extendedprice"), -F.col("l_partkey"), -F.col("l_suppkey"),
+                            -F.col("l_linenumber")))
     return li.groupBy("l_orderkey").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("price_inr"),
         F.round(F.avg("l_discount") * 100, 4).alias("discount_pct"),
