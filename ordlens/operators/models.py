@@ -85,7 +85,7 @@ def positive_probability(model_out: DataFrame, out: str = "p") -> DataFrame:
 
 
 def cross_validate(prep: list, estimator, train_with_fold: DataFrame, grid: list[dict], label: str,
-                   parallelism: int = 4):
+                   parallelism: int = 4, num_folds: int = 5):
     """ML4: grid search on a fixed fold column (exact stratified folds), AUC,
     refit of the best point on all training rows."""
     pg = ParamGridBuilder()
@@ -94,7 +94,7 @@ def cross_validate(prep: list, estimator, train_with_fold: DataFrame, grid: list
     cv = CrossValidator(estimator=Pipeline(stages=prep + [estimator]), estimatorParamMaps=pg.build(),
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC",
                                                                 numBins=0),
-                        foldCol="fold", parallelism=parallelism, seed=42)
+                        foldCol="fold", numFolds=num_folds, parallelism=parallelism, seed=42)
     return cv.fit(train_with_fold)
 
 

@@ -37,9 +37,11 @@ def ranked_within(df: DataFrame, class_cols, key_cols, seed, out: str = "rank_in
     w_off = Window.partitionBy(*cls).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cls, "_hb", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"),
                            F.sum("_bn").over(Window.partitionBy(*cls)).alias("class_size"))
-    # offsets holds at most (number of classes) x 2**bucket_bits rows
+    # offsets holds at most (number of classes) x 2**bucket_bits rows; no
+    # broadcast hint: AQE broadcasts it at run time when its measured size is
+    # under the threshold (always, for a label column) and shuffles otherwise
     w_in = Window.partitionBy(*cls, "_hb").orderBy("_h", *keys)
-    return (join_null_safe(h, F.broadcast(offsets), cls + ["_hb"], "inner")
+    return (join_null_safe(h, offsets, cls + ["_hb"], "inner")
             .withColumn(out, F.col("_off") + F.row_number().over(w_in))
             .drop("_h", "_hb", "_off"))
 
