@@ -27,7 +27,7 @@ def seeded_hash(seed, key_cols) -> Column:
 
 
 def ranked_within(df: DataFrame, class_cols, key_cols, seed, out: str = "rank_in_class",
-                  bucket_bits: int = 12) -> DataFrame:
+                  bucket_bits: int = 16) -> DataFrame:
     """Exact rank per class in (hash, key) order; adds ``out`` (1-based)."""
     cls = list(class_cols)
     keys = list(key_cols)
