@@ -83,35 +83,38 @@ def prior_counts(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
 
 def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
                    supplier: DataFrame, customer: DataFrame) -> DataFrame:
-    """D1 order table built from the base tables (FIXTURES section 2)."""
+    """D1 order table built from the base tables (FIXTURES section 2).
+
+    The prior-order counts need only the order core (customer, date, label),
+    so they run before the dimension lookups: the self-join inside
+    :func:`prior_counts` re-reads the core, not the joined dimensions.
+    """
     la = line_aggregates(lineitem)
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    base = (la.join(o, la.l_orderkey == o.o_orderkey)
+    core = (la.join(o, la.l_orderkey == o.o_orderkey)
+            .select(F.col("o_orderkey").alias(KEY), "o_custkey", "o_orderdate", "o_orderpriority",
+                    "price_inr", "discount_pct", "first_ship", "top",
+                    (F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int").alias(LABEL)))
+    with_prior = prior_counts(core, "o_custkey", "o_orderdate", KEY, LABEL,
+                              "num_previous_orders", "num_previous_returns", "_first_day")
+    full = (with_prior
             .join(part.select("p_partkey", "p_type"), F.col("top.partkey") == F.col("p_partkey"))
             .join(supplier.select("s_suppkey", "s_nationkey"), F.col("top.suppkey") == F.col("s_suppkey"))
-            .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-            .select(
-                F.col("o_orderkey").alias(KEY),
-                "o_custkey", "o_orderdate",
-                F.col("p_type").alias("product_category"),
-                "price_inr", "discount_pct",
-                F.col("o_orderpriority").alias("payment_method"),
-                (F.abs(F.col("c_nationkey") - F.col("s_nationkey")) * 100).cast("double")
-                .alias("delivery_distance_km"),
-                ((F.abs(F.datediff(F.col("first_ship"), F.col("o_orderdate"))) % 21) + 1)
-                .cast("int").alias("delivery_days"),
-                F.dayofweek("o_orderdate").isin(1, 7).cast("int").alias("is_weekend_order"),
-                F.when(F.col("o_orderkey") % 8 == 0, F.lit(None).cast("double"))
-                .otherwise((F.col("o_orderkey") % 5 + 1).cast("double")).alias("rating_given"),
-                (F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int").alias(LABEL),
-            ))
-    with_prior = prior_counts(base, "o_custkey", "o_orderdate", KEY, LABEL,
-                              "num_previous_orders", "num_previous_returns", "_first_day")
-    return with_prior.select(
-        KEY, "product_category", "price_inr", "discount_pct", "payment_method",
+            .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")))
+    return full.select(
+        KEY,
+        F.col("p_type").alias("product_category"),
+        "price_inr", "discount_pct",
+        F.col("o_orderpriority").alias("payment_method"),
         F.datediff(F.to_date("o_orderdate"), F.col("_first_day")).cast("int").alias("customer_tenure_days"),
-        "num_previous_orders", "num_previous_returns", "delivery_distance_km", "delivery_days",
-        "is_weekend_order", "rating_given", LABEL)
+        "num_previous_orders", "num_previous_returns",
+        (F.abs(F.col("c_nationkey") - F.col("s_nationkey")) * 100).cast("double").alias("delivery_distance_km"),
+        ((F.abs(F.datediff(F.to_date("first_ship"), F.to_date("o_orderdate"))) % 21) + 1)
+        .cast("int").alias("delivery_days"),
+        F.dayofweek("o_orderdate").isin(1, 7).cast("int").alias("is_weekend_order"),
+        F.when(F.col(KEY) % 8 == 0, F.lit(None).cast("double"))
+        .otherwise((F.col(KEY) % 5 + 1).cast("double")).alias("rating_given"),
+        LABEL)
 
 
 def validate_required(df: DataFrame, required=FEATURE_ORDER, nullable=("rating_given",)) -> DataFrame:
