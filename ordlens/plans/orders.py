@@ -177,7 +177,7 @@ _lo, _hi = f"{T_STAR:.4f}", f"{T_STAR + S.MEDIUM_BAND:.4f}"
 
 
 @query("cut_points", _with(
-    f"""SELECT {T_STAR} AS t_rf, 'probability < {_lo}' AS cut_low,
+    f"""SELECT CAST({T_STAR} AS DOUBLE) AS t_rf, 'probability < {_lo}' AS cut_low,
        '{_lo} <= probability < {_hi}' AS cut_medium, 'probability >= {_hi}' AS cut_high,
        count(*) FILTER (WHERE p < {T_STAR}) AS n_low,
        count(*) FILTER (WHERE p >= {T_STAR} AND p < {T_STAR} + {S.MEDIUM_BAND}) AS n_medium,
@@ -207,7 +207,8 @@ _RATES_SQL = """round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6)
 
 @query("confusion_at_threshold", _with(
     f"""SELECT n, tp, fp, fn, tn, threshold, {_RATES_SQL} FROM (
-      SELECT count(*) AS n, {_CELLS_SQL.format(t=T_DEFAULT)}, {T_DEFAULT} AS threshold FROM scored)""",
+      SELECT count(*) AS n, {_CELLS_SQL.format(t=T_DEFAULT)}, CAST({T_DEFAULT} AS DOUBLE) AS threshold
+      FROM scored)""",
     SQL_SCORED))
 def q_confusion(spark, sf_dir):
     return M.confusion_at_threshold(scored(spark, sf_dir), T_DEFAULT)

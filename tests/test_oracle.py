@@ -13,6 +13,8 @@ from oracle_check import digest  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
 
 ORACLE = E.oracle_sql()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -23,6 +25,8 @@ def test_query_matches_oracle(spark, duck, name):
     o_cols = [d[0] for d in res.description]
     o_rows = res.fetchall()
     assert sorted(df.columns) == sorted(o_cols)
+    o_types = {c: str(t) for c, t in zip(o_cols, duck.sql(ORACLE[name]).types)}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == o_types
     assert len(s_rows) == len(o_rows)
     assert digest(s_rows, df.columns)[0] == digest(o_rows, o_cols)[0]
 
