@@ -9,7 +9,7 @@ Threshold tuning uses a validation fold carved from the training rows
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,26 +245,17 @@ def q_reload_parity(spark, sf_dir):
 
 # ------------------------------------------------------------ softmax head ---
 def _head_splits(spark, sf_dir):
-    """Embeddings split 60/20/20 per class (exact), features as ML vectors."""
+    """Embeddings split 20/20/60 (test/val/train) per class by exact hash rank,
+    features as ML vectors."""
     e = Tables(spark, sf_dir).embeddings
     r = SM.ranked_within(e, ["label"], ["vec_id"], PO.SPLIT_SEED)
     frac = F.col("rank_in_class") / F.col("class_size")
     r = r.withColumn("split", F.when(frac <= 0.2, "test").when(frac <= 0.4, "val").otherwise("train"))
-    asm = VectorAssembler(inputCols=["x"], outputCol="features")
-    from pyspark.ml.functions import array_to_vector
-    r = r.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    del asm
-    return r
+    return r.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
 def _head_eval(model, df: DataFrame) -> DataFrame:
-    out = model.transform(df).withColumn("_pr", vector_to_array_prob())
-    return out
-
-
-def vector_to_array_prob():
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array("probability")
+    return model.transform(df).withColumn("_pr", vector_to_array("probability"))
 
 
 def _head_candidates(spark, sf_dir):
