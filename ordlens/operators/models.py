@@ -51,8 +51,10 @@ def fit_prep_stages(train: DataFrame, numeric, categorical) -> list:
     sql = SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
     idx = StringIndexer(inputCols=[f"{c}__f" for c in categorical], outputCols=[f"{c}__i" for c in categorical],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
+    # the indexer's extra "unknown" index is the last category, so dropLast
+    # drops exactly it: unseen and null values encode to all zeros
     ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__v" for c in categorical],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     asm = VectorAssembler(inputCols=[f"{c}__s" for c in numeric] + [f"{c}__v" for c in categorical],
                           outputCol="features")
     return [sql, idx, ohe, asm]
