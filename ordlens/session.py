@@ -7,9 +7,12 @@ checkpoint folder comes from ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +38,42 @@ def local_session(cpus: int | str = "*", app: str = "ordlens", extra: dict | Non
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application.
+
+    Workers then import it wherever the driver was started from.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ordlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="ordlens-zip-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, d, True)
+    path = os.path.join(d, "ordlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.join("ordlens", os.path.relpath(f, root)))
+    sc.addPyFile(path)
+    sc._ordlens_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) is a scratch folder
-    created; on a cluster the configured shared folder is always used.
+    Only a local session may leave it unset: then a scratch folder is created.
+    On a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="ordlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
