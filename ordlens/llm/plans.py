@@ -27,14 +27,14 @@ def query(name: str, sql: str | None = None):
 #: Lower-cases A-Z only and splits on the six white-space bytes, in DuckDB.
 SQL_WORDS = (
     r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
-    r" 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+    r" 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 )
 
 OP1_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
-    THEN list_transform(range(1, len(w) - 1), i -> w[i] || chr(32) || w[i+1] || chr(32) || w[i+2])
+    THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(32) || w[i+1] || chr(32) || w[i+2])
     WHEN len(w) > 0 THEN [array_to_string(w, chr(32))] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
