@@ -9,11 +9,13 @@
    estimated from the bit counts and corrected for chance collisions, lies
    ``SLACK`` standard errors under the threshold is dropped; the rest is
    confirmed on the full sets.
-4. Components over the confirmed links. Buckets that still hold several
-   components get an exact pass: members of different components are compared
-   block by block on their signatures, survivors are confirmed on full sets,
-   and the components are closed again. So no link between two documents that
-   share a bucket is lost, and copies are never expanded into all pairs.
+4. Components over the confirmed links; in buckets that still hold several,
+   one member of each is paired with one of the largest (``STAR_ROUNDS``
+   times). Documents of buckets that hold several components after that get
+   an exact pass: members of different components are compared block by block,
+   first on signatures, then on full sets, and the components are closed again.
+   So no link between two documents that share a bucket is lost, and copies
+   are never expanded into all pairs.
 
 The number of bands is chosen so that a pair at the threshold misses every
 bucket with a probability below ``MISS``.
@@ -37,7 +39,9 @@ ROWS = 4
 MISS = 1e-9
 BITS = 2
 SLACK = 6.0
-BLOCK = 256
+STAR_ROUNDS = 1
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 18
 BATCH = 2 << 20
 _SEED = 71
 
@@ -49,14 +53,14 @@ def plan_bands(num: int, den: int) -> int:
     return max(8, -(-need // 8) * 8)
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each holds about ``BATCH`` characters of text, or one row."""
+def batches(it: Iterator[pa.RecordBatch], column: str, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that each holds about ``size`` characters of text, or one row."""
     for rb in it:
         sizes = np.cumsum(np.array([len(t) if t else 0 for t in rb.column(column).to_pylist()], np.int64) + 64)
         at = 0
         while at < rb.num_rows:
             base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + BATCH, "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, base + size, "right")))
             yield rb.slice(at, to - at)
             at = to
 
@@ -168,80 +172,117 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return rows.mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
 
 
+def _sets_of(k: int):
+    def run(it):
+        for rb in batches(it, "text"):
+            sets = shingle_sets(rb.column("text").to_pylist(), k)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def _links(rows: list[tuple], bands: int, floor: float, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different labels of one cell: signatures choose the pairs, bit sets of shared shingles decide.
+
+    Of the links that join the same labels one is enough.
+    """
+    doc, label, n, role = (np.array([r[i] for r in rows]) for i in range(4))
+    sig = np.array([r[4] for r in rows], np.int64).view(np.uint64)
+    sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+    _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1) - 1
+    owner = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
+    keep = seen[code] > 1
+    at = shared[code[keep]]
+    bits = np.zeros((len(rows), (int(shared[-1]) >> 6) + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    odd, one, chance = np.uint64(0x5555555555555555), np.uint64(1), 2.0**-BITS
+    root = {x: x for x in set(label.tolist())}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i in np.flatnonzero(role & 1):
+        d = sig ^ sig[i]
+        bad = np.bitwise_count((d | (d >> one)) & odd).sum(1)
+        ok = ((1 - bad / (bands * ROWS) - chance) / (1 - chance) >= floor) & (label != label[i]) & (role & 2 > 0) & (
+            den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
+        js = np.flatnonzero(ok)
+        for part in np.split(js, range(256, len(js), 256)):
+            both = np.bitwise_count(bits[part] & bits[i]).sum(1, dtype=np.int64)
+            for j in part[den * both >= num * (n[part] + n[i] - both)]:
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y:
+                    root[x] = y
+                    out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))))
+    return out
+
+
 def _cross(bands: int, floor: float, num: int, den: int):
-    def compare(rows, emit):
-        doc = np.array([r[0] for r in rows])
-        label = np.array([r[1] for r in rows])
-        n = np.array([r[2] for r in rows])
-        left = np.array([r[3] for r in rows])
-        sig = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-        odd, one, chance = np.uint64(0x5555555555555555), np.uint64(1), 2.0**-BITS
-        for i in np.flatnonzero(left & 1):
-            d = sig ^ sig[i]
-            bad = np.bitwise_count((d | (d >> one)) & odd).sum(1)
-            est = ((1 - bad / (bands * ROWS)) - chance) / (1 - chance)
-            ok = (est >= floor) & (label != label[i]) & (left & 2 > 0) & (
-                den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-            for j in np.flatnonzero(ok):
-                emit.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+    def table(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     def run(it):
         key, rows = None, []
         for rb in it:
-            emit = []
-            for band, bucket, i, j, role, doc, label, n, sig in zip(*(c.to_pylist() for c in rb.columns)):
-                if (band, bucket, i, j) != key:
-                    compare(rows, emit) if rows else None
-                    key, rows = (band, bucket, i, j), []
-                rows.append((doc, label, n, role, sig))
-            emit = list(set(emit))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p[0]) for p in emit], pa.int64()), pa.array([int(p[1]) for p in emit], pa.int64())],
-                ["a", "b"])
-        emit = []
-        compare(rows, emit) if rows else None
-        emit = list(set(emit))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(p[0]) for p in emit], pa.int64()), pa.array([int(p[1]) for p in emit], pa.int64())],
-            ["a", "b"])
+            for family, i, j, role, doc, label, n, sig, shingles in zip(*(c.to_pylist() for c in rb.columns)):
+                if (family, i, j) != key:
+                    if rows:
+                        yield table(_links(rows, bands, floor, num, den))
+                    key, rows = (family, i, j), []
+                rows.append((doc, label, n, role, sig, shingles))
+        if rows:
+            yield table(_links(rows, bands, floor, num, den))
 
     return run
 
 
-def cross_candidates(members: DataFrame, bands: int, floor: float, num: int, den: int) -> DataFrame:
-    """Pairs of different components inside one bucket that may be links.
+def cross_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, bands: int, floor: float, num: int,
+                den: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket of ``open_`` (band, bucket, doc_id, label).
 
-    ``members``: (band, bucket, doc_id, label, n, sig). In each bucket the
-    largest component is the major one; only pairs with a member of a minor
-    component on one side are compared. Both sides are hashed into blocks of
-    about ``BLOCK`` rows and every (minor block, block) meets in one group, so
-    a bucket of any size is spread over many tasks of bounded size.
+    Documents that share open buckets, directly or through others, are a
+    family. In each family the largest component is the major one, and only
+    pairs with a member of a minor component on one side are compared. Both
+    sides are hashed into blocks of about ``BLOCK_ROWS`` rows and
+    ``BLOCK_SHINGLES`` shingles, and every (minor block, block) meets in one
+    cell: a family of any size is spread over tasks of bounded size, and only
+    links come out of them.
     """
-    key = ["band", "bucket"]
-    sizes = members.groupBy(*key, "label").agg(F.count("*").alias("c"))
-    per = sizes.groupBy(*key).agg(
-        F.sum("c").alias("total"), F.max_by("label", F.struct("c", "label")).alias("major"),
-        F.max("c").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    per = per.select(*key, "major", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("mb"),
-                     F.ceil(F.col("most") / BLOCK).cast("int").alias("nb"))
-    m = members.join(per, key).withColumn("minor", F.col("label") != F.col("major")).withColumn(
+    hub = open_.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"))
+    family = components(open_.join(hub, ["band", "bucket"]).where("hub <> doc_id").select(
+        F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()).toDF("doc_id", "family")
+    m = family.join(open_.select("doc_id", "label").distinct(), "doc_id").join(
+        reps.select("doc_id", "n", "sig").groupBy("doc_id").agg(F.max(F.struct("n", "sig")).alias("r")), "doc_id").select(
+        "family", "doc_id", "label", "r.n", "r.sig")
+    sizes = m.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK_ROWS, s / BLOCK_SHINGLES)).cast("int")
+    per = sizes.groupBy("family").agg(
+        F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "label")).alias("major"),
+        F.count("*").alias("labels")).where("labels > 1").select(
+        "family", F.col("major.label").alias("major"),
+        blocks(F.col("c") - F.col("major.c"), F.col("s") - F.col("major.s")).alias("mb"),
+        blocks(F.col("major.c"), F.col("major.s")).alias("nb"))
+    m = m.join(per, "family").withColumn("minor", F.col("label") != F.col("major")).withColumn(
         "own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("minor"), F.col("mb")).otherwise(F.col("nb"))).cast("int"))
-    # blocks: 0..mb-1 are minor, mb..mb+nb-1 major; role bit 1 = left side, bit 2 = right side
-    cells = F.when(
-        F.col("minor"),
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("mb") + F.col("nb") - 1), lambda j: F.struct(
-                F.col("own").alias("i"), j.alias("j"),
-                F.when(j == F.col("own"), F.lit(3)).otherwise(F.lit(1)).alias("role"))),
-            F.transform(F.filter(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: i < F.col("own")), lambda i: F.struct(
-                i.alias("i"), F.col("own").alias("j"), F.lit(2).alias("role"))),
-        )).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: F.struct(
-            i.alias("i"), (F.col("mb") + F.col("own")).alias("j"), F.lit(2).alias("role"))))
-    cells = F.filter(cells, lambda c: (c["j"] >= c["i"]))
-    rows = m.select(*key, F.explode(cells).alias("cell"), "doc_id", "label", "n", "sig").select(
-        *key, "cell.i", "cell.j", "cell.role", "doc_id", "label", "n", "sig")
-    rows = rows.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
+    # blocks 0..mb-1 are minor, mb..mb+nb-1 major; role 1 = left side, 2 = right side, 3 = both
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    minors, all_ = F.sequence(F.lit(0), F.col("mb") - 1), F.sequence(F.lit(0), F.col("mb") + F.col("nb") - 1)
+    own = F.col("own")
+    cells = F.when(F.col("minor"), F.concat(
+        F.transform(F.filter(all_, lambda j: j > own), lambda j: cell(own, j, 1)),
+        F.array(cell(own, own, 3)),
+        F.transform(F.filter(minors, lambda i: i < own), lambda i: cell(i, own, 2)),
+    )).otherwise(F.transform(minors, lambda i: cell(i, F.col("mb") + own, 2)))
+    sets = docs.join(m.select("doc_id").distinct(), "doc_id").mapInArrow(_sets_of(k), "doc_id long, shingles binary")
+    rows = m.join(sets, "doc_id").select("family", F.explode(cells).alias("cell"), "doc_id", "label", "n", "sig", "shingles")
+    rows = rows.select("family", "cell.i", "cell.j", "cell.role", "doc_id", "label", "n", "sig", "shingles").repartition(
+        "family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(_cross(bands, floor, num, den), "a long, b long").distinct()
 
 
@@ -279,28 +320,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     star = full.select(F.explode(ends).alias("p")).select("p.a", "p.b").where("a < b").distinct()
     links = materialize(confirm(_plausible(star, reps, bands, floor, num, den), docs, shingle, num, den), "mh-links")
     labels = components(links.union(same))
-    open_ = full.where("c > 3").select("band", "bucket", "doc_id").join(
-        labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn(
-        "label", F.coalesce("label", "doc_id"))
-    mixed = open_.groupBy("band", "bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
-    members = open_.join(mixed.select("band", "bucket"), ["band", "bucket"]).join(
-        reps.select("doc_id", "n", "sig"), "doc_id").select("band", "bucket", "doc_id", "label", "n", "sig")
-    rest = cross_candidates(members, bands, floor, num, den).join(star, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, docs, shingle, num, den), "mh-more")
+    tested = star
+    for turn in range(STAR_ROUNDS):
+        pairs = _label_star(_open(full, labels), turn).join(tested, ["a", "b"], "left_anti")
+        more = materialize(confirm(_plausible(pairs, reps, bands, floor, num, den), docs, shingle, num, den), "mh-more")
+        if more.isEmpty():
+            break
+        tested, labels = tested.union(pairs), _lift(labels, more)
+    more = materialize(cross_links(_open(full, labels), reps, docs, shingle, bands, floor, num, den), "mh-cross")
     if not more.isEmpty():
-        lab = labels.select("node", "label")
-        lift = more.join(lab.toDF("a", "la"), "a", "left").join(lab.toDF("b", "lb"), "b", "left").select(
-            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-        top = components(lift).toDF("label", "top")
-        joined = lab.union(more.select("a", "a").union(more.select("b", "b")).distinct().toDF("node", "label").join(
-            lab.select("node"), "node", "left_anti"))
-        labels = joined.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        labels = _lift(labels, more)
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (band, bucket, doc_id, label) of the buckets that hold several components and an untested pair."""
+    m = full.where("c > 3").select("band", "bucket", "doc_id").join(
+        labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn(
+        "label", F.coalesce("label", "doc_id"))
+    mixed = m.groupBy("band", "bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
+    return materialize(m.join(mixed.select("band", "bucket"), ["band", "bucket"]), "mh-open")
+
+
+def _label_star(members: DataFrame, turn: int) -> DataFrame:
+    """In each bucket one member of every component, paired with one of the largest component."""
+    rep = members.groupBy("band", "bucket", "label").agg(
+        F.count("*").alias("c"), F.min_by("doc_id", F.xxhash64("doc_id", "band", F.lit(turn))).alias("rep"))
+    hub = rep.groupBy("band", "bucket").agg(F.max_by("rep", F.struct("c", "rep")).alias("hub"))
+    return materialize(rep.join(hub, ["band", "bucket"]).where("rep <> hub").select(
+        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "mh-star")
+
+
+def _lift(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links."""
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    between = links.join(la, "a", "left").join(lb, "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    top = components(between).toDF("label", "top")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return materialize(labels.union(fresh).join(top, "label", "left").select(
+        "node", F.coalesce("top", "label").alias("label")), "mh-labels")
+
+
 def _plausible(pairs: DataFrame, reps: DataFrame, bands: int, floor: float, num: int, den: int) -> DataFrame:
     """Pairs whose set sizes and estimated similarity allow a link."""
     x = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
