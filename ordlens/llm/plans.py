@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordlens.llm.bpe import bpe_digests
+from ordlens.llm.mil import quality_scores
 from ordlens.llm.minhash import near_duplicates
+from ordlens.llm.packing import pack
+from ordlens.llm.rules import quality_rules
+from ordlens.llm.sharding import extendible_shards
+from ordlens.llm.topk import exact_top_k
+from ordlens.llm.toxicity import toxicity_scores
+from ordlens.llm.urlfilter import url_verdicts
 from ordlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +61,137 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: 3-word shingles, similarity 85/100."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+OP2_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op2_exact_top_k", OP2_SQL)
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every row of ``embeddings`` whose id is divisible by 100."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1),
+  lambda i: w[i] || chr(10) || w[i+1] || chr(10) || w[i+2])) AS g FROM d WHERE len(w) >= 3),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+f AS (SELECT doc_id, stratum, len(w) AS n_words,
+  length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+  length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals FROM d LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+s AS (SELECT *, unnest(['symbols', 'dup_lines', 'repeats', 'capitals']) AS rule,
+  round(50 * unnest([coalesce(n_symbols / nullif(word_chars, 0)::DOUBLE, 0), coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0),
+    coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0), coalesce(n_capitals / nullif(word_chars, 0)::DOUBLE, 0)]), 9) AS share
+  FROM b),
+y AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+x AS (SELECT stratum, rule, good, share FROM s JOIN y USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT stratum, rule, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND share > cut) AS k,
+  count(*) FILTER (NOT good AND share > cut) AS caught FROM x, (SELECT unnest(range(1, 51)) AS cut) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+  exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS tail FROM k),
+z AS (SELECT *, max((tail > 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM x)))::INTEGER)
+  OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS stop FROM p),
+a AS (SELECT stratum, rule, max_by(cut, (caught - 5 * k) * 100 + cut) AS cut, max(caught - 5 * k) AS gain
+  FROM z WHERE stop = 0 GROUP BY ALL HAVING gain > 0),
+v AS (SELECT s.doc_id, bool_or(share > a.cut) AS hit FROM s JOIN a USING (stratum, rule) GROUP BY s.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(hit, FALSE) AS kept
+FROM b LEFT JOIN v USING (doc_id)
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and risk-controlled verdicts over ``documents``; ``labels.quality`` is the holdout."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("broken")
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+  lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+u AS (SELECT r, doc_id, n_bytes, d::INTEGER AS depth, substr(bits, 1, d::INTEGER) AS shard
+      FROM d, (SELECT unnest(range(0, 41)) AS d)),
+s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, shard) AS b, count(*) OVER (PARTITION BY depth, shard) AS c FROM u)
+SELECT doc_id, n_bytes, shard, depth, b::BIGINT AS shard_bytes, c AS shard_rows FROM s
+WHERE b <= 1048576 OR c = 1 QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1
+"""
+
+
+@query("op8_extendible_sharding", OP8_SQL)
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of ``documents`` of at most 1 MiB of text, hashed on doc_id."""
+    return extendible_shards(table(spark, sf_dir, "documents"), limit_bytes=1 << 20)
+
+
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+OP9_SQL = """
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path,
+  (SELECT max_by(rh || rp, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+  coalesce((SELECT max_by(v, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+    'allow') AS verdict
+FROM u
+"""
+
+
+@query("op9_url_bloom_cascade", OP9_SQL)
+def op9_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every ``pages`` url; a url without a fitting rule is in no cascade and allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+def tokenizer_path() -> str:
+    """The public word-level BPE file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of 4096 tokens; document slots and attention cost as a full sequence allows."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op7_bpe_encode_decode")
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of all ``documents``."""
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_toxicity_chain")
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and the verdict on every text of ``documents``; ``labels.toxic`` teaches it."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query("op10_attention_quality")
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text of ``documents``; ``labels.quality`` teaches it."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -50,40 +50,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _piece_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of one byte array and the byte offsets at which the words start."""
-    word = ~_SPACE[b]
-    edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, np.uint64), start
+def _spans(b: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of bytes that are no gap."""
+    edge = np.diff(np.concatenate(([0], (~gap[b]).view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _hash(b: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the byte runs from ``start`` to each of ``ends``."""
     up, down = _powers(len(b) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * up[: len(b)], dtype=np.uint64)))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
-
+    return [mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)) for end in ends]
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and each text's number of words.
 
-    Texts are joined by a space and cut at white space into pieces of about
-    1 MiB, so memory follows the longest word, not the longest text.
-    """
+def _pieces(texts: list[str | None], gap: np.ndarray):
+    """The texts' bytes, a space between them, and cuts at gaps about every 1 MiB."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.fromiter((len(r) for r in raw), np.int64, len(raw))
-    bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))))
     joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    hashes, counts, at = [], np.zeros(len(raw), np.int64), 0
-    while at < len(joined):
-        to = min(at + _PIECE, len(joined))
-        while to < len(joined) and not (gap := np.flatnonzero(_SPACE[joined[to - 1 : to + _PIECE]])).size:
+    cuts = [0]
+    while cuts[-1] < len(joined):
+        to = cuts[-1] + _PIECE
+        while to < len(joined) and not (found := np.flatnonzero(gap[joined[to - 1 : to + _PIECE]])).size:
             to += _PIECE
-        to = len(joined) if to >= len(joined) else to + int(gap[0])
-        h, start = _piece_hashes(joined[at:to])
-        hashes.append(h)
+        cuts.append(len(joined) if to >= len(joined) else to + int(found[0]))
+    return joined, bounds, list(zip(cuts, cuts[1:]))
+
+
+def word_spans(texts: list[str | None], gap: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()):
+    """All words of the texts: (bytes, start, end, hashes, words of each text).
+
+    Hashes are taken over pieces of about 1 MiB cut at gaps, so memory follows
+    the longest word, not the longest text. With ``prefixes`` the fourth item
+    is a list: the words' hashes, then those of their first n bytes for each n.
+    """
+    joined, bounds, pieces = _pieces(texts, gap)
+    starts, ends, hashes = [], [], []
+    for a, b in pieces:
+        start, end = _spans(joined[a:b], gap)
         if len(start):
-            counts += np.bincount(np.searchsorted(bounds, start + at, "right") - 1, minlength=len(raw))[: len(raw)]
-        at = to
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
+            starts.append(start + a)
+            ends.append(end + a)
+            hashes.append(_hash(joined[a:b], start, [end, *(np.minimum(start + n, end) for n in prefixes)]))
+    none = np.zeros(0, np.int64)
+    start, end = (np.concatenate(x) if x else none for x in (starts, ends))
+    all_ = [np.concatenate(h) for h in zip(*hashes)] if hashes else [np.zeros(0, np.uint64)] * (1 + len(prefixes))
+    counts = np.diff(np.searchsorted(start, bounds))
+    return joined, start, end, all_ if prefixes else all_[0], counts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and each text's number of words."""
+    _, _, _, hashes, counts = word_spans(texts)
+    return hashes, counts
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
