@@ -1,36 +1,77 @@
 """The corpus pipeline: documents through four of the training-data operators.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-every stage's result as Parquet in the shared folder and rereads it as the
-next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
+Parquet and reread as the next stage's documents. The first three return the
+columns of their input and drop what they reject; the last returns the packed
+pieces. Rows with a null doc_id can be neither labelled nor linked: the
+classifiers judge them on their text like all others, the near-duplicate stage
+keeps them. Extra columns pass through; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ordlens.llm.mil import THRESHOLD, with_quality
 from ordlens.llm.minhash import near_duplicates
+from ordlens.llm.packing import pack
+from ordlens.llm.plans import tokenizer_path
+from ordlens.llm.toxicity import CHAIN, with_toxicity
 from ordlens.session import materialize, ship_package
 from ordlens.sources.tables import table
 
+SHINGLE, SIMILARITY = 5, (8, 10)
+
+
+#: Names of the columns that live inside a stage only.
+TOXIC = [f"_stage_p_{name}" for name, _ in CHAIN]
+SCORE = "_stage_quality"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain does not reject."""
+    ship_package(spark)
+    scored, cut = with_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), TOXIC)
+    return scored.where(F.col(TOXIC[-1]) < F.lit(cut)).select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention classifier predicts to be good."""
+    ship_package(spark)
+    scored = with_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), SCORE)
+    return scored.where(F.col(SCORE) >= THRESHOLD).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate group; of several rows of one doc_id, one row."""
+    ship_package(spark)
+    found = near_duplicates(docs, SHINGLE, *SIMILARITY)
+    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"),
+                        "repeated-ids")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    return single.union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 4096 tokens."""
     ship_package(spark)
-    gone = near_duplicates(docs, shingle=5, num=8, den=10).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return pack(docs, tokenizer_path())
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+STAGES = [("toxicity", toxicity), ("quality classifier", quality), ("minhash near-dedup", near_dedup),
+          ("best-fit packing", packing)]
 
+#: SQL cannot express the classifiers; tests/llm/test_pipeline.py checks run() against direct versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and reread."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{k}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

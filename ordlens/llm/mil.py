@@ -8,12 +8,14 @@ representations. All weights are learned together from document labels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordlens.llm.minhash import batches
 from ordlens.llm.shingles import word_spans
@@ -208,17 +210,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Attenti
     return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array(rows.column("label").to_pylist(), float))
 
 
-def _score(model: AttentionModel | None):
+def annotate(docs: DataFrame, scorer: Callable[[list], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """``docs`` with double columns ``names`` that ``scorer`` finds from the texts; all other columns pass through."""
     def run(it):
         for rb in batches(it, "text"):
-            if model is None:
-                score = np.full(rb.num_rows, 0.5)
-            else:
-                x, per = passage_features(rb.column("text").to_pylist())
-                score = model.score(x, per)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+            got = scorer(rb.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*rb.columns, *(pa.array(got[n], pa.float64()) for n in names)],
+                                             [*rb.schema.names, *names])
 
-    return run
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the quality score of each text in column ``name``."""
+    model = train(docs, labels)
+
+    def scorer(texts):
+        return {name: np.full(len(texts), 0.5) if model is None else model.score(*passage_features(texts))}
+
+    return annotate(docs, scorer, [name])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,8 +238,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     one passage without words. Without any labels every score is 0.5. Rows may
     repeat and have null ids; columns other than doc_id and text are ignored.
     """
-    model = train(docs, labels)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _score(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_quality(docs, labels, "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlens.llm.bpe import bpe_digests
+from ordlens.llm.html import main_text
 from ordlens.llm.mil import quality_scores
 from ordlens.llm.minhash import near_duplicates
 from ordlens.llm.packing import pack
@@ -195,3 +196,9 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text of ``documents``; ``labels.quality`` teaches it."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_html_wrapper_extraction")
+def op5_html_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return main_text(table(spark, sf_dir, "pages"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordlens.llm.mil import held_out
+from ordlens.llm.mil import annotate, held_out
 from ordlens.llm.minhash import batches
 from ordlens.llm.shingles import word_spans
 
@@ -215,14 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
     return fit_chain(rows.column("doc_id").to_pylist(), sets, targets, np.array(rows.column("weight").to_pylist(), float))
 
 
-def _score(chain: Chain):
-    def run(it):
-        for rb in batches(it, "text"):
-            p = chain.predict(features(rb.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), *(pa.array(p[:, i]) for i in range(p.shape[1]))], ["doc_id", *chain.names])
+def with_toxicity(docs: DataFrame, labels: DataFrame, names: list[str], chain=CHAIN) -> tuple[DataFrame, float]:
+    """``docs`` with the chain's probabilities in columns ``names``, and the cut on the last."""
+    model = train(docs, labels, chain)
+
+    def scorer(texts):
+        return dict(zip(names, model.predict(features(texts)).T))
 
-    return run
+    return annotate(docs, scorer, names), model.cut
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
@@ -233,9 +233,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFram
     no features and get the chain's base rate; without labels nothing is
     rejected. Rows may repeat and have null ids; other columns are ignored.
     """
-    model = train(docs, labels, chain)
-    schema = ", ".join(["doc_id long", *(f"{n} double" for n in model.names)])
-    p = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), schema)
-    bad = F.col(model.names[-1]) >= F.lit(model.cut)
-    return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *[F.col(n).alias(f"p_{n}") for n in model.names],
-                    bad.alias("rejected"), (~bad).alias("kept"))
+    names = [f"p_{n}" for n, _ in chain]
+    scored, cut = with_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, names, chain)
+    bad = F.col(names[-1]) >= F.lit(cut)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *names, bad.alias("rejected"),
+                         (~bad).alias("kept"))
