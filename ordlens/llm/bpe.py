@@ -30,18 +30,16 @@ from ordlens.llm.tokens import WordEncoder, ragged, split_words
 from ordlens.session import materialize
 
 #: Characters of text in a block (a longer text is a block of its own).
-BLOCK_CHARS = 12 << 20
-#: Word lists are dealt into this many buckets per shuffle partition.
-BUCKETS_PER_PARTITION = 2
+BLOCK_CHARS = 16 << 20
 
-BLOCKS = ("block long, bucket int, rows array<long>, row_null array<boolean>, counts array<int>, "
-          "codes binary, words array<string>")
-ENTRIES = "block long, codes binary, counts binary, ids binary, used array<int>"
+BLOCKS = ("block long, bucket int, rows array<long>, row_null array<boolean>, counts array<int>, repeated int, "
+          "places binary, words binary")
+ENTRIES = "block long, places binary, counts binary, ids binary, used binary"
 
 
 def pack(a: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, by byte plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -49,50 +47,72 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Ascending integers as their first differences."""
+    return np.diff(a, prepend=0)
+
+
 def _split(buckets: int):
     def run(it):
         part, n = TaskContext.get().partitionId(), 0
         for rb in batches(it, "text", BLOCK_CHARS):
             offsets, codes, words = split_words(rb.column("text"))
             block, n = (part << 32) + n, n + 1
+            # places: words that repeat in the block by frequency, then the others as they come, which need no position
+            seen = np.bincount(codes, minlength=len(words))
+            often = np.flatnonzero(seen > 1)
+            by_place = np.concatenate((often[np.argsort(-seen[often], kind="stable")], np.flatnonzero(seen == 1)))
+            place = np.zeros(len(words), np.int64)
+            place[by_place] = np.arange(len(words))
             ids = rb.column("doc_id")
-            rows = [(block, -1, ids.fill_null(0).to_pylist(), ids.is_null().to_pylist(), np.diff(offsets).tolist(),
-                     pack(codes), None)]
-            home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
+            rows = [(block, -1, ids.fill_null(0).to_pylist(), ids.is_null().to_pylist(), np.diff(offsets).tolist(), len(often),
+                     pack(np.where(seen[codes] == 1, 0, place[codes] + 1)), None)]
+            words = [words[i] for i in by_place]
+            home = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
             order = np.argsort(home, kind="stable")
-            cuts = np.flatnonzero(np.diff(home[order])) + 1
-            for some in np.split(order, cuts) if len(order) else []:
-                rows.append((block, int(home[some[0]]), None, None, None, pack(some), [words[i] for i in some]))
+            for some in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
+                rows.append((block, int(home[some[0]]), None, None, None, None, pack(_steps(some)),
+                             zstandard.compress("\n".join([words[i] for i in some]).encode(), 3)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (
-                    pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
-                    pa.binary(), pa.list_(pa.string())))],
-                ["block", "bucket", "rows", "row_null", "counts", "codes", "words"])
+                    pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(),
+                    pa.binary(), pa.binary()))],
+                ["block", "bucket", "rows", "row_null", "counts", "repeated", "places", "words"])
 
     return run
 
 
 def _encode(path: str):
     def run(it):
-        table: dict[int, WordEncoder] = {}
+        bucket_now, t = None, WordEncoder(path, None)
         for rb in it:
             out = []
-            for block, bucket, codes, words in zip(*(rb.column(c).to_pylist() for c in ("block", "bucket", "codes", "words"))):
-                if bucket not in table:  # rows come sorted by bucket: one bucket's distinct words at a time
-                    table = {bucket: next(iter(table.values()), None) or WordEncoder(path, None)}
-                    table[bucket].clear()
-                t = table[bucket]
-                at = t.places(words)
+            for block, bucket, places, words in zip(*(rb.column(c).to_pylist() for c in ("block", "bucket", "places", "words"))):
+                if bucket != bucket_now:  # rows come sorted by bucket: one bucket's distinct words at a time
+                    t.clear()
+                    bucket_now = bucket
+                at = t.places(zstandard.decompress(words).decode().split("\n"))
                 count = t.count[at]
                 ids = t.gather(t.start[at], count)
-                out.append((block, codes, pack(count), pack(ids), np.unique(ids).astype(np.int32)))
+                out.append((block, places, pack(count), pack(ids), pack(_steps(np.unique(ids).astype(np.int64)))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)),
-                 pa.array([o[4] for o in out], pa.list_(pa.int32()))], ["block", "codes", "counts", "ids", "used"])
+                [pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3, 4))],
+                ["block", "places", "counts", "ids", "used"])
 
     return run
 
 
+def _used(it):
+    """The distinct (block, id) pairs of each batch of entries."""
+    for rb in it:
+        ids: dict[int, list] = {}
+        for block, used in zip(rb.column("block").to_pylist(), rb.column("used").to_pylist()):
+            ids.setdefault(block, []).append(np.cumsum(unpack(used), dtype=np.int64))
+        for block, lists in ids.items():
+            u = np.unique(np.concatenate(lists)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block)), pa.array(u)], ["block", "id"])
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of a tokenizer file: as many rows as its vocabulary."""
     from tokenizers import Tokenizer
@@ -104,53 +124,54 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def word_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of ``docs`` (doc_id, text): per block one row of positions and one row of distinct words per bucket."""
-    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _split(buckets), BLOCKS), "bpe-blocks")
 
 
 def word_table(blocks: DataFrame, path: str) -> DataFrame:
-    """For each block and bucket the ids of its distinct words; each distinct word is encoded once per bucket."""
+    """For each block and bucket the ids of its words; each distinct word of the corpus is encoded once."""
     return materialize(
-        blocks.where("bucket >= 0").select("block", "bucket", "codes", "words").repartition("bucket").sortWithinPartitions(
+        blocks.where("bucket >= 0").select("block", "bucket", "places", "words").repartition("bucket").sortWithinPartitions(
             "bucket").mapInArrow(_encode(path), ENTRIES), "bpe-words")
 
 
 def assemble(blocks: DataFrame, entries: DataFrame, pieces: DataFrame, reader: Callable, schema: str) -> DataFrame:
-    """``reader(doc_ids, counts, codes, word_count, word_start, ids, piece_of)`` -> DataFrame, for each block.
+    """``reader(doc_ids, null, counts, places, word_count, word_start, ids, piece_of)`` -> DataFrame, for each block.
 
     ``pieces`` (id, piece) is joined with the distinct ids of each block.
     """
-    used = entries.select("block", F.explode("used").alias("id")).distinct().join(pieces, "id").groupBy("block").agg(
-        F.collect_list(F.struct("id", "piece")).alias("p")).select(  # one block: the vocabulary at most
-        "block", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("counts"),
-        F.lit(None).cast("binary").alias("ids"), F.col("p.id").alias("used"), F.col("p.piece").alias("pieces"))
-    known = entries.select("block", "codes", "counts", "ids", F.lit(None).cast("array<int>").alias("used"),
-                           F.lit(None).cast("array<string>").alias("pieces")).unionByName(used)
+    used = entries.select("block", "used").mapInArrow(_used, "block long, id int").distinct().join(pieces, "id").groupBy(
+        "block").agg(F.collect_list(F.struct("id", "piece")).alias("p"))  # one block: the vocabulary at most
+    none = F.lit(None)
+    known = entries.select("block", "places", "counts", "ids", none.cast("array<int>").alias("used"),
+                           none.cast("array<string>").alias("pieces")).unionByName(used.select(
+        "block", none.cast("binary").alias("places"), none.cast("binary").alias("counts"), none.cast("binary").alias("ids"),
+        F.col("p.id").alias("used"), F.col("p.piece").alias("pieces")))
 
     def join(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         piece_of: dict[int, str] = {}
-        codes, counts, ids = [], [], []
-        for c, k, i, u, p in zip(words.codes, words.counts, words.ids, words.used, words.pieces):
+        lists: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for c, k, i, u, p in zip(words.places, words.counts, words.ids, words.used, words.pieces):
             if c is None:
                 piece_of.update(zip(u, p))
             else:
-                codes.append(unpack(c))
-                counts.append(unpack(k))
-                ids.append(unpack(i))
+                for to, x in zip(lists, (np.cumsum(unpack(c), dtype=np.int64), unpack(k).astype(np.int64), unpack(i))):
+                    to.append(x)
+        place, n, ids = (np.concatenate(x) for x in lists)
+        count, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        count[place], start[place] = n, np.cumsum(n) - n
         out = []
-        for rows, null, n, at in zip(docs.rows, docs.row_null, docs.counts, docs.codes):
-            place = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-            by_code = np.zeros(len(place), np.int64)
-            by_code[place] = count
-            start = np.zeros(len(place), np.int64)
-            start[place] = np.cumsum(count) - count
-            out.append(reader(pd.array(np.where(null, 0, rows), "Int64"), np.asarray(null, bool), np.asarray(n), unpack(at),
-                              by_code, start, np.concatenate(ids) if ids else np.zeros(0, np.uint32), piece_of))
+        for rows, null, words_of, repeated, packed in zip(docs.rows, docs.row_null, docs.counts, docs.repeated, docs.places):
+            at = unpack(packed).astype(np.int64) - 1
+            once = at < 0
+            at[once] = repeated + np.arange(once.sum())
+            null = np.asarray(null, bool)
+            out.append(reader(pd.array(np.where(null, 0, rows), "Int64"), null, np.asarray(words_of), at, count, start, ids,
+                              piece_of))
         return pd.concat(out)
 
-    docs = blocks.where("bucket = -1").select("block", "rows", "row_null", "counts", "codes")
+    docs = blocks.where("bucket = -1").select("block", "rows", "row_null", "counts", "repeated", "places")
     return docs.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(join, schema)
 
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def plan_bands(num: int, den: int) -> int:
 def batches(it: Iterator[pa.RecordBatch], column: str, size: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about ``size`` characters of text, or one row."""
     for rb in it:
-        sizes = np.cumsum(np.array([len(t) if t else 0 for t in rb.column(column).to_pylist()], np.int64) + 64)
+        sizes = np.cumsum(pc.utf8_length(rb.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         at = 0
         while at < rb.num_rows:
             base = sizes[at - 1] if at else 0

@@ -105,7 +105,7 @@ class Cascade:
                 self.levels = None
                 return
             self.levels.append(level)
-            wrong = materialize(side[1].where(_probe([level])("h1", "h2")), "cascade-errors")
+            wrong = materialize(side[1].where(pandas_walk([level])("h1", "h2")), "cascade-errors")
             side, n = [wrong, side[0]], wrong.count()
 
 
@@ -118,7 +118,7 @@ def _walk(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return depth % 2 == 1
 
 
-def _probe(levels: list[Level]):
+def pandas_walk(levels: list[Level]):
     @F.pandas_udf("boolean")
     def probe(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(_walk(levels, h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64)))
