@@ -66,10 +66,10 @@ def sigmoid(z: Column) -> Column:
 
 
 def risk_bucket(p: Column, t: float = RISK_THRESHOLD, band: float = MEDIUM_BAND) -> Column:
-    """SCL6: on the unrounded probability."""
+    """SCL6: on the unrounded probability; null for a null or NaN probability."""
     return (F.when(p < F.lit(t), "Low")
             .when(p < F.lit(t) + F.lit(band), "Medium")
-            .otherwise("High"))
+            .when(p.isNotNull() & ~F.isnan(p), "High"))
 
 
 def cut_points(t: float = RISK_THRESHOLD, band: float = MEDIUM_BAND) -> Column:

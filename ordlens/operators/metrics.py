@@ -103,30 +103,35 @@ def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
     return sweep.orderBy(F.col(metric).desc(), F.col("threshold").asc()).limit(1)
 
 
-def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(),
-            n_buckets: int = 1 << 16) -> DataFrame:
-    """AGG13: exact ROC-AUC with ties counted one half, per group.
+def auc_counts(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(),
+               n_buckets: int = 1 << 16) -> DataFrame:
+    """Exact integer parts of the AUC per group: ``(n_pos, n_neg, num2)``.
 
-    AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s)/2) / (P*N).
+    ``num2`` = sum over distinct scores s of pos(s) * (2 neg(< s) + neg(s)), so
+    AUC = num2 / (2 n_pos n_neg). Rows with a null or NaN score have no place
+    in the order and take no part.
     """
     g = list(group_cols)
-    per_p = (scored.groupBy(*g, p)
+    per_p = (scored.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*g, p)
              .agg(F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
-                  F.count(F.when(F.col(label) == 0, 1)).alias("_neg"))
-             .withColumn("_bk", F.least(F.greatest(F.floor(F.col(p) * n_buckets), F.lit(0)),
-                                        F.lit(n_buckets - 1))))
+                  F.count(F.when(F.col(label) == 0, 1)).alias("_neg")))
+    per_p = per_p.withColumn("_bk", F.least(F.greatest(F.floor(F.col(p) * n_buckets), F.lit(0)), F.lit(n_buckets - 1)))
     per_bucket = per_p.groupBy(*g, "_bk").agg(F.sum("_neg").alias("_bneg"))
     w_b = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*g, "_bk", F.coalesce(F.sum("_bneg").over(w_b), F.lit(0)).alias("_off"))
     w_p = Window.partitionBy(*g, "_bk").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     contrib = (join_null_safe(per_p, offsets, g + ["_bk"])
                .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(w_p), F.lit(0)))
-               .withColumn("_c", F.col("_pos") * (F.col("_below") + 0.5 * F.col("_neg"))))
-    agg = contrib.groupBy(*g).agg(F.sum("_c").alias("_num"), F.sum("_pos").alias("n_pos"),
-                                  F.sum("_neg").alias("n_neg"))
-    return agg.select(*g, "n_pos", "n_neg",
-                      F.round(F.col("_num") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)), 6)
-                      .alias("roc_auc"))
+               .withColumn("_c", F.col("_pos") * (2 * F.col("_below") + F.col("_neg"))))
+    return contrib.groupBy(*g).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
+                                   F.sum("_c").alias("num2"))
+
+
+def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=()) -> DataFrame:
+    """AGG13: exact ROC-AUC with ties counted one half, per group (null without both classes)."""
+    c = auc_counts(scored, label, p, group_cols)
+    return c.select(*group_cols, "n_pos", "n_neg", F.round(
+        F.col("num2") / F.nullif(2 * F.col("n_pos") * F.col("n_neg"), F.lit(0)), 6).alias("roc_auc"))
 
 
 def slice_metrics(scored: DataFrame, dims, t: float, label: str = "label",

@@ -37,14 +37,14 @@ def _sql_literal(v) -> str:
 def fit_prep_stages(train: DataFrame, numeric, categorical) -> list:
     """ML1 stages with statistics fitted on ``train`` only."""
     med = ST.exact_medians(train, numeric)
-    imputed = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric}
+    imputed = {c: F.coalesce(ST.present(c), F.lit(med[c])) for c in numeric}
     mom = train.agg(*[F.avg(e).alias(f"m_{i}") for i, e in enumerate(imputed.values())],
                     *[F.stddev_pop(e).alias(f"s_{i}") for i, e in enumerate(imputed.values())]).first()
     modes = {r["column"]: r["mode"] for r in ST.modes(train, categorical).collect()}
     exprs = []
     for i, c in enumerate(numeric):
         std = mom[f"s_{i}"] or 1.0
-        exprs.append(f"(coalesce(CAST({c} AS DOUBLE), {_sql_literal(med[c])}) - {_sql_literal(mom[f'm_{i}'])})"
+        exprs.append(f"(coalesce(nullif(CAST({c} AS DOUBLE), double('NaN')), {_sql_literal(med[c])}) - {_sql_literal(mom[f'm_{i}'])})"
                      f" / {_sql_literal(std)} AS {c}__s")
     for c in categorical:
         exprs.append(f"coalesce({c}, {_sql_literal(modes.get(c))}) AS {c}__f")

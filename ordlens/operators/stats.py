@@ -11,14 +11,22 @@ or the driver.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import safe_div
 
 
+def present(c: str) -> Column:
+    """A column as double, with NaN as missing."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def exact_kth(df: DataFrame, targets: dict, bins: int = 1024, max_rounds: int = 200) -> dict:
-    """k-th smallest (0-based) non-null value for several (column, k) targets.
+    """k-th smallest (0-based) value for several (column, k) targets; nulls and NaN are missing.
+
+    Infinities are values: they rank before and after all finite ones.
 
     ``targets`` maps a name to ``(column, k)``. Each round assigns every value
     still inside a target's [lo, hi] to one of ``bins`` equal-width bins and
@@ -27,15 +35,23 @@ def exact_kth(df: DataFrame, targets: dict, bins: int = 1024, max_rounds: int =
     candidate set; typical data needs 3-6 rounds.
     """
     cols = sorted({c for c, _ in targets.values()})
-    work = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = {c: present(c) for c in cols}
+    finite = [F.when(F.abs(raw[c]) < float("inf"), raw[c]).alias(c) for c in cols]
+    ends = df.agg(*[F.count_if(raw[c] == float("-inf")).alias(f"low_{i}") for i, c in enumerate(cols)])
+    work = df.select(*finite).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first = work.agg(*[F.min(c).alias(f"mn_{i}") for i, c in enumerate(cols)],
-                         *[F.max(c).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
-        state = {}
+                         *[F.max(c).alias(f"mx_{i}") for i, c in enumerate(cols)],
+                         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+        low = ends.first()
+        state, result = {}, {}
         for name, (c, k) in targets.items():
             i = cols.index(c)
+            k -= low[f"low_{i}"]
+            if k < 0 or k >= first[f"n_{i}"]:
+                result[name] = float("-inf") if k < 0 else float("inf")
+                continue
             state[name] = {"col": c, "k": k, "lo": first[f"mn_{i}"], "hi": first[f"mx_{i}"], "below": 0}
-        result = {}
         for _ in range(max_rounds):
             active = {n: s for n, s in state.items() if n not in result}
             for n, s in list(active.items()):
@@ -76,8 +92,8 @@ def exact_kth(df: DataFrame, targets: dict, bins: int = 1024, max_rounds: int =
 
 
 def exact_medians(df: DataFrame, cols) -> dict:
-    """AGG4: exact interpolated median of each column (nulls ignored)."""
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    """AGG4: exact interpolated median of each column (nulls and NaN ignored)."""
+    counts = df.agg(*[F.count(present(c)).alias(c) for c in cols]).first()
     targets = {}
     for c in cols:
         n = counts[c]
@@ -109,7 +125,7 @@ def impute_stats(train: DataFrame, numeric, categorical) -> DataFrame:
     mode of each categorical."""
     spark = train.sparkSession
     med = exact_medians(train, numeric)
-    imputed = [F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric]
+    imputed = [F.coalesce(present(c), F.lit(med[c])) for c in numeric]
     moments = train.agg(*[F.avg(e).alias(f"mean_{i}") for i, e in enumerate(imputed)],
                         *[F.stddev_pop(e).alias(f"std_{i}") for i, e in enumerate(imputed)])
     num_rows = moments.select(F.explode(F.array(*[
@@ -125,22 +141,6 @@ def impute_stats(train: DataFrame, numeric, categorical) -> DataFrame:
     return out.select("column", "kind", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std")], "mode")
 
 
-def scale_columns(df: DataFrame, stats: DataFrame, numeric, keep=()) -> DataFrame:
-    """ML1 numeric part: ``(coalesce(x, median) - mean) / std`` with train stats.
-
-    ``stats`` is the (bounded: one row per column) output of
-    :func:`impute_stats`; it is collected once, as a fitted model would be.
-    """
-    st = {r["column"]: r for r in stats.where(F.col("kind") == "numeric").collect()}
-    exprs = []
-    for c in numeric:
-        r = st[c]
-        std = r["std"] if r["std"] else 1.0
-        exprs.append(F.round((F.coalesce(F.col(c).cast("double"), F.lit(r["median"])) - F.lit(r["mean"]))
-                             / F.lit(std), 6).alias(c))
-    return df.select(*keep, *exprs)
-
-
 def profile(df: DataFrame, label: str) -> DataFrame:
     """AGG1/AGG2: rows, columns, positive rate, share of nulls per column."""
     return df.agg(
@@ -165,8 +165,7 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
     """AGG8: balanced weights n / (k * n_c)."""
     c = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()
-    return c.select(label, "n", F.round(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n")), 6)
-                    .alias("weight"))
+    return c.select(label, "n", (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
 
 
 def majority_baseline(split_df: DataFrame, label: str) -> DataFrame:
@@ -176,7 +175,7 @@ def majority_baseline(split_df: DataFrame, label: str) -> DataFrame:
     # fitting the baseline = one value (the majority class), like any model fit
     majority = (train.groupBy(label).count()
                 .agg(F.min_by(label, F.struct((-F.col("count")).alias("neg"), F.col(label).alias("v"))))
-                .first()[0])
+                .first()[0])  # null without training rows: then nothing is predicted right
     y = F.col(label)
     m = F.lit(majority)
     agg = test.agg(

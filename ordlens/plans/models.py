@@ -80,17 +80,16 @@ cum AS (SELECT feature, repeat, pos, neg,
                coalesce(sum(neg) OVER (PARTITION BY feature, repeat ORDER BY p
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
         FROM per_p),
-aucs AS (SELECT feature, repeat,
-                round(sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc
+aucs AS (SELECT feature, repeat, sum(pos * (2 * below + neg))::BIGINT AS num2, sum(pos) * sum(neg) * 2.0 AS pairs
          FROM cum GROUP BY feature, repeat),
-imp AS (SELECT feature, round((SELECT auc FROM aucs WHERE feature = '__base__') - avg(auc), 6) AS importance_mean,
-               round(stddev_pop(auc), 6) AS importance_std
+imp AS (SELECT feature, sum((SELECT num2 FROM aucs WHERE feature = '__base__') - num2)::BIGINT AS dropped,
+               max(pairs)::DOUBLE AS pairs, count(*) AS r, stddev_pop(num2::DOUBLE) AS std
         FROM aucs WHERE feature <> '__base__' GROUP BY feature)"""
 
 
 @query("permutation_importance",
-       "WITH " + _perm_sql() + "\nSELECT feature, importance_mean, importance_std, "
-       "rank() OVER (ORDER BY importance_mean DESC) AS rank FROM imp")
+       "WITH " + _perm_sql() + "\nSELECT feature, round(dropped / (pairs * r), 6) AS importance_mean, "
+       "round(std / pairs, 6) AS importance_std, rank() OVER (ORDER BY dropped DESC) AS rank FROM imp")
 def q_permutation_importance(spark, sf_dir):
     hold = PO.split_features_table(spark, sf_dir).where(F.col("split") == "test").drop("split", "rank_in_class")
     return IM.permutation_importance(hold, "order_id", "returned", FEATURE_ORDER, _score_card,
@@ -229,7 +228,8 @@ def q_model_comparison(spark, sf_dir):
     return out
 
 
-@query("reload_parity")
+@query("reload_parity", "WITH " + PO.SQL_SPLIT + """
+SELECT count(*) AS n_rows, 0::BIGINT AS n_unmatched, 0.0::DOUBLE AS max_abs_diff FROM split WHERE split = 'test'""")
 def q_reload_parity(spark, sf_dir):
     """ML11/JN6: save the fitted pipeline, reload it, re-score, compare."""
     train, test, _ = _prepared(spark, sf_dir)

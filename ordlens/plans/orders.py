@@ -328,7 +328,7 @@ def q_majority(spark, sf_dir):
     FROM (SELECT returned, count(*) AS n FROM split WHERE split = 'train' GROUP BY returned)""", SQL_SPLIT))
 def q_class_weights(spark, sf_dir):
     train = split_features(spark, sf_dir).where(F.col("split") == "train")
-    return ST.class_weights(train, "returned")
+    return ST.class_weights(train, "returned").withColumn("weight", F.round("weight", 6))
 
 
 @query("onehot_counts", _with(
@@ -396,7 +396,7 @@ def q_imputed_scaled(spark, sf_dir):
     train = sp.where(F.col("split") == "train")
     # fit: exact medians, then moments of the imputed columns (full precision)
     med = ST.exact_medians(train, FT.FEATURES_NUMERIC)
-    imputed = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in FT.FEATURES_NUMERIC}
+    imputed = {c: F.coalesce(ST.present(c), F.lit(med[c])) for c in FT.FEATURES_NUMERIC}
     mom = train.agg(*[F.avg(e).alias(f"mean_{c}") for c, e in imputed.items()],
                     *[F.stddev_pop(e).alias(f"std_{c}") for c, e in imputed.items()]).first()
     cols = []

@@ -140,10 +140,14 @@ def test_carry_forward_and_history_across_buckets(spark):
         last = refs.get(t, last)
         assert got[(1, t)] == last
     assert all(got[(2, t)] is None for t in range(6))
-    hist = {(r.conv, r.turn): r.h for r in RT.bounded_history(df, "conv", "turn", F.col("role"), "h", cap=3,
-                                                                bucket=4).collect()}
-    for t in range(25):
-        assert hist[(1, t)] == ["r%d" % u for u in range(max(0, t - 3), t)]
+    # gaps in turn and conversations longer than any bucket: exact positions, no cap
+    gaps = df.withColumn("turn", F.when(F.col("turn") > 10, F.col("turn") * 100).otherwise(F.col("turn")))
+    for d in (df, gaps):
+        rows = sorted((r.conv, r.turn, r.n_history, r.prev_turn) for r in RT.turn_positions(d, "conv", "turn", bucket=4).collect())
+        for conv in (1, 2):
+            own = [r for r in rows if r[0] == conv]
+            assert [r[2] for r in own] == list(range(len(own)))
+            assert [r[3] for r in own] == [None] + [r[1] for r in own[:-1]]
 
 
 @pytest.mark.parametrize("block", [7, 64, 4096])
