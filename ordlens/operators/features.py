@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 FEATURES_NUMERIC = [
     "price_inr", "discount_pct", "customer_tenure_days", "num_previous_orders",
     "num_previous_returns", "delivery_distance_km", "delivery_days",
@@ -86,8 +88,9 @@ def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
     """D1 order table built from the base tables (FIXTURES section 2).
 
     The prior-order counts need only the order core (customer, date, label),
-    so they run before the dimension lookups: the self-join inside
-    :func:`prior_counts` re-reads the core, not the joined dimensions.
+    so they run before the dimension lookups. :func:`prior_counts` reads the
+    core twice, so the core (one row per order) is written once: lineitem is
+    scanned and shuffled a single time.
     """
     la = line_aggregates(lineitem)
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -95,6 +98,7 @@ def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
             .select(F.col("o_orderkey").alias(KEY), "o_custkey", "o_orderdate", "o_orderpriority",
                     "price_inr", "discount_pct", "first_ship", "top",
                     (F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int").alias(LABEL)))
+    core = materialize(core, "order-core")
     with_prior = prior_counts(core, "o_custkey", "o_orderdate", KEY, LABEL,
                               "num_previous_orders", "num_previous_returns", "_first_day")
     full = (with_prior

@@ -60,6 +60,26 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
             .drop("class_size"))
 
 
+def stratified_split_sized(df: DataFrame, label: str, key: str, n_test: int, seed: int = 42) -> DataFrame:
+    """WIN6 with a fixed number of test rows: adds ``split``.
+
+    Every class gets its proportional share of ``n_test`` rounded down; the
+    rows left over go one each to the classes with the largest remainders
+    (ties: the smaller class value).
+    """
+    r = ranked_within(df, [label], [key], seed)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    all_ = Window.partitionBy()
+    share = F.lit(n_test).cast("double") * F.col("_c") / F.sum("_c").over(all_)
+    quota = sizes.withColumn("_q", F.floor(share)).withColumn("_rem", share - F.floor(share)).withColumn(
+        "_left", F.lit(n_test) - F.sum("_q").over(all_)).withColumn(
+        "_o", F.row_number().over(Window.orderBy(F.col("_rem").desc(), label)))  # one row per class
+    quota = quota.select(label, (F.col("_q") + (F.col("_o") <= F.col("_left")).cast("int")).alias("_quota"))
+    return (join_null_safe(r, quota, [label]).withColumn(
+        "split", F.when(F.col("rank_in_class") <= F.col("_quota"), "test").otherwise("train"))
+        .drop("class_size", "_quota"))
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 7) -> DataFrame:
     """WIN7: adds ``fold`` in [0, k); per-class fold sizes differ by at most one."""
     r = ranked_within(df, [label], [key], seed, out="_r")

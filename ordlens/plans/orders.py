@@ -298,6 +298,34 @@ def q_split_counts(spark, sf_dir):
     return split_features(spark, sf_dir).groupBy("split", "returned").agg(F.count(F.lit(1)).alias("n"))
 
 
+SIZED_TEST_ROWS = 1000
+
+
+@query("stratified_split_sized", _with(
+    f"""SELECT order_id, returned, CASE WHEN rank_in_class <= quota THEN 'test' ELSE 'train' END AS split
+    FROM split JOIN (
+      SELECT returned, q + CAST(row_number() OVER (ORDER BY share - q DESC, returned)
+                                <= {SIZED_TEST_ROWS} - sum(q) OVER () AS BIGINT) AS quota
+      FROM (SELECT returned, {SIZED_TEST_ROWS}::DOUBLE * count(*) / sum(count(*)) OVER () AS share, floor(share) AS q
+            FROM order_features GROUP BY returned)) USING (returned)""", SQL_SPLIT))
+def q_split_sized(spark, sf_dir):
+    """WIN6 with a fixed number of test rows."""
+    return SM.stratified_split_sized(order_features(spark, sf_dir), "returned", "order_id", SIZED_TEST_ROWS,
+                                     SPLIT_SEED).select("order_id", "returned", "split")
+
+
+@query("category_parameters", _with(
+    """SELECT order_id, product_category, base_price, round(price_inr / base_price, 6) AS price_ratio
+    FROM order_features LEFT JOIN (SELECT p_type AS product_category, round(avg(p_retailprice), 4) AS base_price
+                                   FROM part GROUP BY p_type) USING (product_category)""", SQL_FEATURES))
+def q_category_parameters(spark, sf_dir):
+    """JN8: each order's price against the base price of its category."""
+    base = Tables(spark, sf_dir).part.groupBy(F.col("p_type").alias("product_category")).agg(
+        F.round(F.avg("p_retailprice"), 4).alias("base_price"))
+    return order_features(spark, sf_dir).join(base, "product_category", "left").select(
+        "order_id", "product_category", "base_price", F.round(F.col("price_inr") / F.col("base_price"), 6).alias("price_ratio"))
+
+
 @query("stratified_folds", _with(
     f"""SELECT order_id, returned,
        CAST((row_number() OVER (PARTITION BY returned ORDER BY

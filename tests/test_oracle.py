@@ -11,8 +11,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from oracle_check import digest  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
+from ordlens.plans import catalog  # noqa: E402
 
-ORACLE = E.oracle_sql()
+ORACLE = catalog.ORACLE
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "boolean": "BOOLEAN"}
 
