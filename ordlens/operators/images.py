@@ -26,7 +26,12 @@ def missing_images(requests: DataFrame, listing: DataFrame, path_col: str = "ima
     return requests.join(listing.select(F.col("path").alias(path_col)), path_col, "left_anti")
 
 
-def channel_normalize(pixels: Column, mean=(0.5, 0.5, 0.5), std=(0.5, 0.5, 0.5), grey: bool = True) -> Column:
+# fixed values: channel means and deviations of the backbone's training images
+CHANNEL_MEAN = (0.485, 0.456, 0.406)
+CHANNEL_STD = (0.229, 0.224, 0.225)
+
+
+def channel_normalize(pixels: Column, mean=CHANNEL_MEAN, std=CHANNEL_STD, grey: bool = True) -> Column:
     """SCL17: ``(x/255 - mean_c) / std_c`` per channel; a grey image is
     repeated into three equal channels first. ``pixels`` is an int array."""
     x = F.transform(pixels, lambda v: v / F.lit(255.0))

@@ -44,8 +44,13 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.select("run_id", "metric", F.col("value").cast("double")).write.mode("append").parquet(path)
 
 
-def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
-    """SNK8: materialise once; reuse when a committed copy exists."""
+def cached_table(spark: SparkSession, path: str, build, snapshot: str, version: str = "1") -> DataFrame:
+    """SNK8: materialise once per (input snapshot, code version); reuse a committed copy of the same pair.
+
+    A changed input or version builds its own copy beside the old one, so no
+    stale rows are served.
+    """
+    path = f"{path}/snapshot={snapshot}/version={version}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -28,5 +28,9 @@ def test_featurize_classify_and_missing(spark):
 
 def test_channel_normalize_grey_to_three(spark):
     df = spark.createDataFrame([([0, 255],)], "px array<int>")
-    v = df.select(IM.channel_normalize(F.col("px")).alias("v")).first().v
+    half = (0.5, 0.5, 0.5)
+    v = df.select(IM.channel_normalize(F.col("px"), half, half).alias("v")).first().v
     assert v == [-1.0, 1.0, -1.0, 1.0, -1.0, 1.0]
+    d = df.select(IM.channel_normalize(F.col("px")).alias("v")).first().v
+    want = [(x - m) / s for m, s in zip((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)) for x in (0.0, 1.0)]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(d, want))

@@ -55,6 +55,9 @@ def test_cached_table_builds_once(spark):
         calls.append(1)
         return spark.range(3).select(F.col("id"))
 
-    a = SK.cached_table(spark, os.path.join(d, "t"), build)
-    b = SK.cached_table(spark, os.path.join(d, "t"), build)
+    a = SK.cached_table(spark, os.path.join(d, "t"), build, "s1")
+    b = SK.cached_table(spark, os.path.join(d, "t"), build, "s1")
     assert a.count() == b.count() == 3 and len(calls) == 1
+    SK.cached_table(spark, os.path.join(d, "t"), build, "s2")
+    SK.cached_table(spark, os.path.join(d, "t"), build, "s1", "2")
+    assert len(calls) == 3
