@@ -127,9 +127,9 @@ def auc_counts(scored: DataFrame, label: str = "label", p: str = "p", group_cols
                                    F.sum("_c").alias("num2"))
 
 
-def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=()) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(), n_buckets: int = 1 << 16) -> DataFrame:
     """AGG13: exact ROC-AUC with ties counted one half, per group (null without both classes)."""
-    c = auc_counts(scored, label, p, group_cols)
+    c = auc_counts(scored, label, p, group_cols, n_buckets)
     return c.select(*group_cols, "n_pos", "n_neg", F.round(
         F.col("num2") / F.nullif(2 * F.col("n_pos") * F.col("n_neg"), F.lit(0)), 6).alias("roc_auc"))
 
