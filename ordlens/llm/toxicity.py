@@ -33,7 +33,7 @@ CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: The fit takes at most so many labelled documents of each class, each of at most so many characters.
 MAX_FIT_DOCS = 4000
-MAX_FIT_CHARS = 60_000
+MAX_FIT_CHARS = 20_000
 #: Features that a link keeps; the fewest texts that must have one, the largest share that may, the least z score.
 MAX_FEATURES = 1024
 MIN_TEXTS = 3

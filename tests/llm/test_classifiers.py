@@ -80,7 +80,7 @@ def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(1)
     ids, sets, first = [], [], []
     for i in range(900):
-        a = rng.random() < 0.3
+        a = rng.random() < 0.06  # rarer than MAX_SHARE
         ids.append(i)
         first.append(float(a))
         sets.append(np.unique(np.append(rng.integers(100, 60_000, 40), [7] if a else [])).astype(np.int32))
