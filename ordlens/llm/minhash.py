@@ -9,11 +9,10 @@
    estimated from the bit counts and corrected for chance collisions, lies
    ``SLACK`` standard errors under the threshold is dropped; the rest is
    confirmed on the full sets.
-4. Components over the confirmed links; in buckets that still hold several,
-   one member of each is paired with one of the largest (``STAR_ROUNDS``
-   times). Documents of buckets that hold several components after that get
-   an exact pass: members of different components are compared block by block,
-   first on signatures, then on full sets, and the components are closed again.
+4. Components over the confirmed links. Documents of buckets that still hold
+   several components get an exact pass: members of different components are
+   compared block by block, first on signatures, then on full sets, and the
+   components are closed again.
    So no link between two documents that share a bucket is lost, and copies
    are never expanded into all pairs.
 
@@ -40,7 +39,6 @@ ROWS = 4
 MISS = 1e-9
 BITS = 2
 SLACK = 6.0
-STAR_ROUNDS = 1
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 18
 BATCH = 2 << 20
@@ -310,8 +308,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     reps = live.select("doc_id", "n", "bands", "sig").join(
         same.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
     # a doc_id with several sets is a member of a class and may also stand for one of its own
-    again = live.groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("sets")).where("sets > 1").select("doc_id")
-    reps = reps.union(live.join(again, "doc_id", "left_semi").select("doc_id", "n", "bands", "sig")).distinct()
+    again = materialize(live.groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("sets")).where(
+        "sets > 1").select("doc_id"), "mh-again")
+    if not again.isEmpty():
+        reps = reps.union(live.join(again, "doc_id", "left_semi").select("doc_id", "n", "bands", "sig")).distinct()
+    reps = materialize(reps, "mh-reps")
     member = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = member.groupBy("band", "bucket").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi")
@@ -319,15 +320,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     ends = F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")),
                    F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b")))
     star = full.select(F.explode(ends).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    links = materialize(confirm(_plausible(star, reps, bands, floor, num, den), docs, shingle, num, den), "mh-links")
+    likely = materialize(_plausible(star, reps, bands, floor, num, den), "mh-likely")
+    # texts move once; whatever is compared later reads this smaller table
+    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(
+        full.where("c > 3").select("doc_id")).distinct()
+    docs = materialize(docs.join(wanted, "doc_id", "left_semi"), "mh-texts")
+    links = materialize(confirm(likely, docs, shingle, num, den), "mh-links")
     labels = components(links.union(same))
-    tested = star
-    for turn in range(STAR_ROUNDS):
-        pairs = _label_star(_open(full, labels), turn).join(tested, ["a", "b"], "left_anti")
-        more = materialize(confirm(_plausible(pairs, reps, bands, floor, num, den), docs, shingle, num, den), "mh-more")
-        if more.isEmpty():
-            break
-        tested, labels = tested.union(pairs), _lift(labels, more)
     more = materialize(cross_links(_open(full, labels), reps, docs, shingle, bands, floor, num, den), "mh-cross")
     if not more.isEmpty():
         labels = _lift(labels, more)
@@ -346,15 +345,6 @@ def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(m.join(mixed.select("band", "bucket"), ["band", "bucket"]), "mh-open")
 
 
-def _label_star(members: DataFrame, turn: int) -> DataFrame:
-    """In each bucket one member of every component, paired with one of the largest component."""
-    rep = members.groupBy("band", "bucket", "label").agg(
-        F.count("*").alias("c"), F.min_by("doc_id", F.xxhash64("doc_id", "band", F.lit(turn))).alias("rep"))
-    hub = rep.groupBy("band", "bucket").agg(F.max_by("rep", F.struct("c", "rep")).alias("hub"))
-    return materialize(rep.join(hub, ["band", "bucket"]).where("rep <> hub").select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "mh-star")
-
-
 def _lift(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components after further links."""
     la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")

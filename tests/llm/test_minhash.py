@@ -53,7 +53,6 @@ def test_components_match_brute_force(spark):
 
 def test_exact_pass_over_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
     rows = list(enumerate(family(7, 90, 80, 5)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85, 100).collect()}
