@@ -52,20 +52,26 @@ def plan(histogram: dict[int, int], cap: Capacity) -> list[tuple[int, int, int,
     """
     full = np.array([cap.tokens, cap.documents, cap.cost], np.float64)
     weights = np.array(cap.weights)
-    residual = np.zeros((0, 3))
+    residual = np.zeros((64, 3))  # of each group; -1 where no sequence is left in it
+    residual[:] = -1
     groups: list[deque] = []
     where: dict[tuple, int] = {}
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
 
     def add(state: tuple, ranges: list[tuple[int, int]]) -> None:
-        nonlocal residual
+        nonlocal residual, groups, where
         if state not in where:
+            if len(groups) == len(residual):
+                keep = [i for i, g in enumerate(groups) if g]
+                states = residual[keep]
+                residual = np.full((max(64, 2 * len(keep)), 3), -1.0)
+                residual[: len(keep)] = states
+                groups = [groups[i] for i in keep]
+                where = {tuple(s): i for i, s in enumerate(states.tolist())}
             where[state] = len(groups)
             groups.append(deque())
-            if len(groups) > len(residual):
-                residual = np.concatenate((residual, np.zeros((max(64, len(residual)), 3))))
-            residual[len(groups) - 1] = state
+        residual[where[state]] = state
         groups[where[state]].extend(ranges)
 
     for length in sorted(histogram, reverse=True):
@@ -74,39 +80,38 @@ def plan(histogram: dict[int, int], cap: Capacity) -> list[tuple[int, int, int,
             raise ValueError(f"a piece of {length} tokens exceeds a sequence's capacity")
         left, rank = histogram[length], 0
         while left:
-            alive = np.fromiter((len(g) > 0 for g in groups), bool, len(groups))
-            fits = alive & (residual[: len(groups)] >= need).all(1) if groups else alive
-            if fits.any():
-                r = residual[: len(groups)]
+            r = residual[: len(groups)]
+            fits = np.flatnonzero((r >= need).all(1))
+            if len(fits):
+                r = r[fits]
                 if cap.rule == "dot":
                     score = -((r / full) * (need / full) * weights).sum(1)
                 else:
                     score = ((((r - need) / full) ** 2) * weights).sum(1)
-                g = int(np.argmin(np.where(fits, score, np.inf)))
+                g = int(fits[np.argmin(score)])
                 state = tuple((residual[g] - need).tolist())
-                offset, moved = int(cap.tokens - residual[g, 0]), []
-                while left and groups[g]:
-                    a, b = groups[g].popleft()
+                offset, moved, group = int(cap.tokens - residual[g, 0]), [], groups[g]
+                while left and group:
+                    a, b = group.popleft()
                     n = min(b - a, left)
                     if a + n < b:
-                        groups[g].appendleft((a + n, b))
+                        group.appendleft((a + n, b))
                     runs.append((length, rank, rank + n, a, offset))
                     moved.append((a, a + n))
                     rank, left = rank + n, left - n
+                if not group:
+                    residual[g] = -1
                 add(state, moved)
                 continue
             per = int(min(cap.tokens // length, cap.documents, cap.cost // (length * length)))
-            whole = left // per
-            at = 0
-            for many, each in ((whole, per), (1, left % per)):
+            for many, each in ((left // per, per), (1, left % per)):
                 if many and each:
                     for j in range(each):
                         runs.append((length, rank, rank + many, sequences, j * length))
                         rank += many
                     add(tuple((full - each * need).tolist()), [(sequences, sequences + many)])
                     sequences += many
-                    at += many * each
-            left -= at
+            left = 0
     return runs
 
 
@@ -114,7 +119,7 @@ def _cut(path: str, tokens: int, end_id: int):
     def run(it):
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for rb in batches(it, "text", 4 << 20):
+        for rb in batches(it, "text", 8 << 20):
             ids, bounds = enc.encode(rb.column("text"))
             raw = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
             rows = []

@@ -20,6 +20,16 @@ CACHE = 500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _byte_chars() -> dict[int, int]:
+    """The character that byte-level BPE files use for each byte: itself if printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder of a tokenizer file."""
     if path not in _ENCODERS:
@@ -33,7 +43,7 @@ class WordEncoder:
     def __init__(self, path: str, cache: int | None = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
@@ -42,8 +52,9 @@ class WordEncoder:
         split = self.whole_split(path)
         self.find = regex.compile(split).findall
         self.plain = re.compile("[\x21-\x7e\xa1-ſ]*").fullmatch
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.special = re.compile("|".join(
+            re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.tokenize = self.whole.model.tokenize
         self.clear()
 
     @staticmethod
@@ -57,29 +68,29 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.word: dict[str, int] = {}
-        self.unit: dict[str, tuple[int, ...]] = {}
+        self.unit: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _unit(self, u: str) -> tuple[int, ...]:
-        ids = self.unit.get(u)
-        if ids is None:
-            mapped = u if u.isascii() else self.to_bytes(u)[0][0]
-            ids = self.unit[u] = tuple([t.id for t in self.whole.model.tokenize(mapped)])
-        return ids
-
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w and self.plain(w) and not any(s in w for s in self.special)]
-        normal = dict(zip(plain, self.whole.normalizer.normalize_str(" ".join(plain)).split(" "))) if plain else {}
-        ids, counts = [], []
+        plain, special = self.plain, self.special
+        easy = [w for w in words if w and plain(w) and not special(w)]
+        # one pass of the file's normaliser over all of them; it neither makes nor drops a space between them
+        cut = [self.find(n) for n in self.whole.normalizer.normalize_str(" ".join(easy)).split(" ")] if easy else []
+        unit, tokenize = self.unit, self.tokenize
+        for u in {u for units in cut for u in units}.difference(unit):
+            unit[u] = [t.id for t in tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        known = dict(zip(easy, cut))
+        ids: list[int] = []
+        counts = []
         for w in words:
-            n = normal.get(w)
-            if n is None:
-                got = self.whole.encode(w, add_special_tokens=False).ids if w else []
-            else:
-                got = [i for u in self.find(n) for i in self._unit(u)]
-            ids += got
-            counts.append(len(got))
+            before = len(ids)
+            if w in known:
+                for u in known[w]:
+                    ids += unit[u]
+            elif w:
+                ids += self.whole.encode(w, add_special_tokens=False).ids
+            counts.append(len(ids) - before)
         self._store(words, ids, np.array(counts, np.int64))
 
     def _store(self, words: list[str], ids, c: np.ndarray) -> None:
