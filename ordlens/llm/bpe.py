@@ -14,6 +14,7 @@ Texts themselves never move: only positions, distinct words and ids do.
 from __future__ import annotations
 
 import hashlib
+import lzma
 import zlib
 from collections.abc import Callable
 
@@ -32,6 +33,8 @@ from ordlens.session import materialize
 #: Characters of text in a block (a longer text is a block of its own).
 BLOCK_CHARS = 16 << 20
 
+_LZMA = {step: [{"id": lzma.FILTER_LZMA2, "preset": 0, "lp": step, "lc": 0, "pb": step}] for step in (1, 2)}
+
 BLOCKS = ("block long, bucket int, rows array<long>, row_null array<boolean>, counts array<int>, repeated int, "
           "places binary, words binary")
 ENTRIES = "block long, places binary, counts binary, ids binary, used binary"
@@ -42,6 +45,17 @@ def pack(a: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Token ids, whose sequences recur in like words: LZMA on their two or four bytes each."""
+    kind, step = ("<u2", 1) if not len(ids) or ids.max() < 1 << 16 else ("<u4", 2)
+    return bytes([step]) + lzma.compress(ids.astype(kind).tobytes(), lzma.FORMAT_RAW, filters=_LZMA[step])
+
+
+def unpack_ids(b: bytes) -> np.ndarray:
+    raw = lzma.decompress(b[1:], lzma.FORMAT_RAW, filters=_LZMA[b[0]])
+    return np.frombuffer(raw, "<u2" if b[0] == 1 else "<u4").astype(np.uint32)
+
+
 def unpack(b: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
@@ -72,7 +86,7 @@ def _split(buckets: int):
             order = np.argsort(home, kind="stable")
             for some in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
                 rows.append((block, int(home[some[0]]), None, None, None, None, pack(_steps(some)),
-                             zstandard.compress("\n".join([words[i] for i in some]).encode(), 3)))
+                             zstandard.compress("\n".join([words[i] for i in some]).encode(), 9)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (
                     pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(),
@@ -94,7 +108,7 @@ def _encode(path: str):
                 at = t.places(zstandard.decompress(words).decode().split("\n"))
                 count = t.count[at]
                 ids = t.gather(t.start[at], count)
-                out.append((block, places, pack(count), pack(ids), pack(_steps(np.unique(ids).astype(np.int64)))))
+                out.append((block, places, pack(count), pack_ids(ids), pack(_steps(np.unique(ids).astype(np.int64)))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3, 4))],
                 ["block", "places", "counts", "ids", "used"])
@@ -103,13 +117,10 @@ def _encode(path: str):
 
 
 def _used(it):
-    """The distinct (block, id) pairs of each batch of entries."""
+    """The distinct ids of each block, from the packed lists of its entries."""
     for rb in it:
-        ids: dict[int, list] = {}
-        for block, used in zip(rb.column("block").to_pylist(), rb.column("used").to_pylist()):
-            ids.setdefault(block, []).append(np.cumsum(unpack(used), dtype=np.int64))
-        for block, lists in ids.items():
-            u = np.unique(np.concatenate(lists)).astype(np.int32)
+        for block, lists in zip(rb.column("block").to_pylist(), rb.column("used").to_pylist()):
+            u = np.unique(np.concatenate([np.cumsum(unpack(x), dtype=np.int64) for x in lists])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block)), pa.array(u)], ["block", "id"])
 
 
@@ -141,8 +152,9 @@ def assemble(blocks: DataFrame, entries: DataFrame, pieces: DataFrame, reader: C
 
     ``pieces`` (id, piece) is joined with the distinct ids of each block.
     """
-    used = entries.select("block", "used").mapInArrow(_used, "block long, id int").distinct().join(pieces, "id").groupBy(
-        "block").agg(F.collect_list(F.struct("id", "piece")).alias("p"))  # one block: the vocabulary at most
+    lists = entries.groupBy("block").agg(F.collect_list("used").alias("used"))  # one block: a small list per bucket
+    used = lists.mapInArrow(_used, "block long, id int").join(pieces, "id").groupBy("block").agg(
+        F.collect_list(F.struct("id", "piece")).alias("p"))  # one block: the vocabulary at most
     none = F.lit(None)
     known = entries.select("block", "places", "counts", "ids", none.cast("array<int>").alias("used"),
                            none.cast("array<string>").alias("pieces")).unionByName(used.select(
@@ -156,7 +168,7 @@ def assemble(blocks: DataFrame, entries: DataFrame, pieces: DataFrame, reader: C
             if c is None:
                 piece_of.update(zip(u, p))
             else:
-                for to, x in zip(lists, (np.cumsum(unpack(c), dtype=np.int64), unpack(k).astype(np.int64), unpack(i))):
+                for to, x in zip(lists, (np.cumsum(unpack(c), dtype=np.int64), unpack(k).astype(np.int64), unpack_ids(i))):
                     to.append(x)
         place, n, ids = (np.concatenate(x) for x in lists)
         count, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
