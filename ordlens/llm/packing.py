@@ -119,7 +119,7 @@ def _cut(path: str, tokens: int, end_id: int):
     def run(it):
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for rb in batches(it, "text", 8 << 20):
+        for rb in batches(it, "text", 4 << 20):
             ids, bounds = enc.encode(rb.column("text"))
             raw = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
             rows = []
@@ -132,6 +132,8 @@ def _cut(path: str, tokens: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()  # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     return run
 

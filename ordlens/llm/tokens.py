@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per Python worker; beyond that the cache starts anew.
-CACHE = 500_000
+CACHE = 400_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
