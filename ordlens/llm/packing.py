@@ -132,8 +132,7 @@ def _cut(path: str, tokens: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.clear()  # the worker goes on to other stages
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
