@@ -34,7 +34,7 @@ CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: The fit takes at most so many labelled documents of each class, each of at most so many characters.
 MAX_FIT_DOCS = 4000
 MAX_FIT_CHARS = 20_000
-#: Features that a link keeps; the fewest texts that must have one, the largest share that may, the least z score.
+#: Features that a link keeps; the fewest texts that must have one, the largest share of clean texts that may, the least z score.
 MAX_FEATURES = 1024
 MIN_TEXTS = 3
 MAX_SHARE = 0.1
@@ -83,6 +83,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def common(rows: np.ndarray, slots: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Whether each feature is in more than ``MAX_SHARE`` of the clean texts; what toxic texts hold never counts."""
+    return np.bincount(slots[clean[rows]], minlength=SLOTS) > MAX_SHARE * clean.sum() + 1
+
+
 def fit_linear(rows: np.ndarray, slots: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, w: np.ndarray,
                steps: int = 150, decay: float = 2e-3) -> Linear:
     """Weighted logistic regression on the features that speak most surely for the class (log odds over their error)."""
@@ -96,7 +101,7 @@ def fit_linear(rows: np.ndarray, slots: np.ndarray, n: int, earlier: np.ndarray,
     a, b = (np.bincount(slots[m], minlength=SLOTS) + 0.5 for m in (m, (~pos & (w > 0))[rows]))
     p, q = (pos & (w > 0)).sum(), (~pos & (w > 0)).sum()
     z = (np.log(a / (p + 1 - a)) - np.log(b / (q + 1 - b))) / np.sqrt(1 / a + 1 / b)
-    able = np.flatnonzero((a + b >= MIN_TEXTS + 1) & (a + b <= MAX_SHARE * (p + q) + 1) & (z >= MIN_Z))
+    able = np.flatnonzero((a + b >= MIN_TEXTS + 1) & (z >= MIN_Z))
     keep = np.sort(able[np.argsort(-z[able], kind="stable")[:MAX_FEATURES]])
     at = np.minimum(np.searchsorted(keep, slots), max(len(keep) - 1, 0))
     hit = keep[at] == slots if len(keep) else np.zeros(len(slots), bool)
@@ -144,7 +149,8 @@ def fit_chain(ids: list[int], sets: list[np.ndarray], targets: dict[str, np.ndar
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
     slots = np.concatenate(sets).astype(np.int64)
     seen = np.bincount(slots, minlength=SLOTS)
-    able = ((seen >= MIN_TEXTS) & (seen <= n * MAX_SHARE + 1))[slots]
+    clean = ~np.any([y > 0 for y in targets.values()], axis=0)
+    able = ((seen >= MIN_TEXTS) & ~common(rows, slots, clean))[slots]
     rows, slots = rows[able], slots[able]
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids])
     out, chain = np.zeros((n, 0)), Chain(list(targets))

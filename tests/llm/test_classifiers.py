@@ -89,3 +89,17 @@ def test_chain_feeds_earlier_categories():
     assert chain.links[1].chain[0] > 0
     p = chain.predict(sets)
     assert np.mean((p[:, 1] >= chain.cut) == (y > 0)) > 0.99
+
+
+def test_frequent_toxic_terms_stay_in_a_full_sample():
+    """A term in 30 % of toxic texts and in no clean one is kept with both classes at MAX_FIT_DOCS; common words go."""
+    rng = np.random.default_rng(2)
+    n = toxicity.MAX_FIT_DOCS
+    y = np.repeat([1.0, 0.0], n)
+    hot = (rng.random(2 * n) < 0.3) & (y > 0)
+    often = rng.random(2 * n) < np.where(y > 0, 0.3, 0.2)
+    sets = [np.unique([*rng.integers(100, 60_000, 20), *[7] * int(h), *[9] * int(o)]).astype(np.int32)
+            for h, o in zip(hot, often)]
+    chain = toxicity.fit_chain(list(range(2 * n)), sets, {"toxic": y}, np.where(y > 0, 1.0, 9.0))
+    assert 7 in chain.links[0].slots and 9 not in chain.links[0].slots
+    assert (chain.predict(sets)[hot, 0] >= chain.cut).all()
