@@ -6,6 +6,11 @@ probabilities of all earlier categories. It is trained on out-of-fold
 probabilities of the earlier links, so that it meets in training what it will
 meet in scoring; the models that score are fitted on all training rows.
 
+Texts are read in passages of ``PASSAGE`` words, and the odds of a text are
+the mean of its passages' odds: a long text is no likelier to be rejected for
+its mere number of words, and a toxic passage counts wherever it lies (the
+longer the text, the clearer a single one must be).
+
 ``labels`` may carry one 0/1 column per category. A category that has no
 column is labelled weakly: toxic texts that use one of its terms.
 """
@@ -31,9 +36,11 @@ CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("dehumanising", ("scum", "trash", "disgusting", "vermin", "filth")),
     ("toxic", ()),
 )
-#: The fit takes at most so many labelled documents of each class, each of at most so many characters.
+#: Words in a passage.
+PASSAGE = 256
+#: The fit takes at most so many labelled documents of each class, of any length; of longer ones so many passages, evenly spread.
 MAX_FIT_DOCS = 4000
-MAX_FIT_CHARS = 20_000
+MAX_FIT_PASSAGES = 12
 #: Features that a link keeps; the fewest texts that must have one, the largest share of clean texts that may, the least z score.
 MAX_FEATURES = 1024
 MIN_TEXTS = 3
@@ -42,25 +49,39 @@ MIN_Z = 3.0
 FOLDS = 5
 #: Beginnings of words, in bytes, that are features beside the words.
 PREFIXES = (4, 5, 6)
-SLOTS = 1 << 22
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _HOT = 1 << 16
+_RARE = 1 << 22
+
 
+def features(texts: list[str | None], most: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each passage's distinct features (hashes of its words and word beginnings, A-Z lower-cased), each text's passages.
 
-def features(texts: list[str | None]) -> list[np.ndarray]:
-    """Each text's distinct features: slots of its words and word beginnings (A-Z lower-cased)."""
+    A text without words is one empty passage. Of more than ``most`` passages, that many evenly spread ones are taken.
+    """
     _, start, end, hashes, counts = word_spans(texts, _GAP, PREFIXES)
-    slots = [(h * np.uint64(2 * i + 1)) >> np.uint64(42) for i, h in enumerate(hashes)]
-    ends = np.cumsum(counts)
+    slots = [_slot(h, i) for i, h in enumerate(hashes)]
     long = [np.ones(len(start), bool), *((end - start) > n for n in PREFIXES)]
-    return [np.unique(np.concatenate([s[e - c : e][m[e - c : e]] for s, m in zip(slots, long)])).astype(np.int32)
-            for c, e in zip(counts.tolist(), ends.tolist())]
+    sets, per = [], []
+    for c, e in zip(counts.tolist(), np.cumsum(counts).tolist()):
+        heads = list(range(e - c, e, PASSAGE)) or [e]
+        if most and len(heads) > most:
+            heads = [heads[i * (len(heads) - 1) // (most - 1)] for i in range(most)]
+        for a in heads:
+            b = min(a + PASSAGE, e)
+            sets.append(np.unique(np.concatenate([s[a:b][m[a:b]] for s, m in zip(slots, long)])))
+        per.append(len(heads))
+    return sets, np.array(per, np.int64)
+
+
+def _slot(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return ((hashes * np.uint64(2 * kind + 1)) >> np.uint64(1)).astype(np.int64)
 
 
 def term_slots(terms: tuple[str, ...]) -> np.ndarray:
-    return np.array([word_spans([t], _GAP, PREFIXES)[3][0][0] >> np.uint64(42) for t in terms], np.int64)
+    return np.array([_slot(word_spans([t], _GAP, PREFIXES)[3][0], 0)[0] for t in terms], np.int64)
 
 
 @dataclass
@@ -83,41 +104,82 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def common(rows: np.ndarray, slots: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Whether each feature is in more than ``MAX_SHARE`` of the clean texts; what toxic texts hold never counts."""
-    return np.bincount(slots[clean[rows]], minlength=SLOTS) > MAX_SHARE * clean.sum() + 1
-
-
-def fit_linear(rows: np.ndarray, slots: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, w: np.ndarray,
-               steps: int = 150, decay: float = 2e-3) -> Linear:
-    """Weighted logistic regression on the features that speak most surely for the class (log odds over their error)."""
-    pos = y > 0
-    p, q = pos.sum(), (~pos).sum()
-    prior = np.clip((w * y).sum() / max(w.sum(), 1e-9), 1e-6, 1 - 1e-6)
-    bias = float(np.log(prior / (1 - prior)))
-    if not p or not q:
-        return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), bias)
-    m = (pos & (w > 0))[rows]
-    a, b = (np.bincount(slots[m], minlength=SLOTS) + 0.5 for m in (m, (~pos & (w > 0))[rows]))
-    p, q = (pos & (w > 0)).sum(), (~pos & (w > 0)).sum()
-    z = (np.log(a / (p + 1 - a)) - np.log(b / (q + 1 - b))) / np.sqrt(1 / a + 1 / b)
-    able = np.flatnonzero((a + b >= MIN_TEXTS + 1) & (z >= MIN_Z))
-    keep = np.sort(able[np.argsort(-z[able], kind="stable")[:MAX_FEATURES]])
-    at = np.minimum(np.searchsorted(keep, slots), max(len(keep) - 1, 0))
-    hit = keep[at] == slots if len(keep) else np.zeros(len(slots), bool)
-    r, c = rows[hit], at[hit]
-    theta = np.zeros(len(keep) + earlier.shape[1] + 1)
-    theta[-1] = bias
-    m, s = np.zeros_like(theta), np.zeros_like(theta)
-    w = w / w.sum()
-    k = len(keep)
-    for t in range(1, steps + 1):
-        logit = np.bincount(r, theta[c], n) + earlier @ theta[k:-1] + theta[-1]
-        d = w * (_sigmoid(logit) - y)
-        g = np.concatenate((np.bincount(c, d[r], k), earlier.T @ d, [d.sum()])) + decay * np.append(theta[:-1], 0) / 100
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
-    return Linear(keep, theta[:k], theta[k:-1], float(theta[-1]))
+def _pairs(sets: list[np.ndarray], able: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, new number) of all features that are ``able``."""
+    kept = [number[x[able[x]]] for x in sets]
+    return np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
+
+
+class Sample:
+    """The (passage, feature) pairs of a fit's texts; features are numbered in the order of ``names``."""
+
+    def __init__(self, sets: list[np.ndarray], text: np.ndarray, clean: np.ndarray):
+        """``text``: each passage's text; ``clean``: whether a text is in no category. Rare and common features go."""
+        self.text, self.n = text, len(sets)
+        # far fewer arrays of all pairs at once: what is rare even with others in its slot goes first
+        count = np.zeros(_RARE, np.int32)
+        for x in sets:
+            count[x % _RARE] += 1
+        sets = [x[count[x % _RARE] >= MIN_TEXTS].astype(np.int64) for x in sets]
+        names = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+        sets = [np.searchsorted(names, x).astype(np.int32) for x in sets]
+        cuts = np.flatnonzero(np.diff(text, prepend=-1)).tolist()
+        once = [sets[i] if j - i == 1 else np.unique(np.concatenate(sets[i:j])) for i, j in zip(cuts, [*cuts[1:], self.n])]
+        seen, usual = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
+        for x, ok in zip(once, clean):  # a feature counts once a text
+            seen[x] += 1
+            usual[x] += ok
+        able = (seen >= MIN_TEXTS) & (usual <= MAX_SHARE * clean.sum() + 1)
+        number = (np.cumsum(able) - 1).astype(np.int32)
+        self.names = names[able]
+        self.rows, self.slots = _pairs(sets, able, number)
+        self.texts, self.features = _pairs(once, able, number)
+
+    def logits(self, link: Linear, earlier: np.ndarray) -> np.ndarray:
+        """Of all passages, by a link of ``fit``."""
+        known = np.zeros(len(self.names), bool)
+        known[link.slots] = True
+        hit = known[self.slots]
+        return link.logits(self.rows[hit], self.slots[hit], self.n, earlier)
+
+    def fit(self, earlier: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 150, decay: float = 2e-3) -> Linear:
+        """Weighted logistic regression on the features that speak most surely for the class (log odds over their error).
+
+        ``y``, ``w`` are the texts'. All passages of a text outside the class
+        count against it; of one inside, the passage with most evidence counts
+        for it and the others not at all.
+        """
+        pos = y > 0
+        prior = np.clip((w * y).sum() / max(w.sum(), 1e-9), 1e-6, 1 - 1e-6)
+        bias = float(np.log(prior / (1 - prior)))
+        if not pos.any() or pos.all():
+            return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), bias)
+        p, q = (pos & (w > 0)).sum(), (~pos & (w > 0)).sum()
+        a, b = (np.bincount(self.features[m], minlength=len(self.names)) + 0.5 for m in (
+            (pos & (w > 0))[self.texts], (~pos & (w > 0))[self.texts]))
+        z = (np.log(a / (p + 1 - a)) - np.log(b / (q + 1 - b))) / np.sqrt(1 / a + 1 / b)
+        able = np.flatnonzero((a + b >= MIN_TEXTS + 1) & (z >= MIN_Z))
+        keep = np.sort(able[np.argsort(-z[able], kind="stable")[:MAX_FEATURES]])
+        k = len(keep)
+        place = np.full(len(self.names), -1, np.int32)
+        place[keep] = np.arange(k)
+        hit = (place >= 0)[self.slots]
+        r, c = self.rows[hit], place[self.slots[hit]]
+        best = np.lexsort((-np.bincount(r, z[keep][c], self.n), self.text))
+        used = ~pos[self.text]
+        used[best[np.unique(self.text[best], return_index=True)[1]]] = True
+        y, w = y[self.text], w[self.text] * used
+        w = w / max(w.sum(), 1e-9)
+        theta = np.zeros(k + earlier.shape[1] + 1)
+        theta[-1] = bias
+        m, s = np.zeros_like(theta), np.zeros_like(theta)
+        for t in range(1, steps + 1):
+            logit = np.bincount(r, theta[c], self.n) + earlier @ theta[k:-1] + theta[-1]
+            d = w * (_sigmoid(logit) - y)
+            g = np.concatenate((np.bincount(c, d[r], k), earlier.T @ d, [d.sum()])) + decay * np.append(theta[:-1], 0) / 100
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
+        return Linear(keep, theta[:k], theta[k:-1], float(theta[-1]))
 
 
 @dataclass
@@ -129,7 +191,7 @@ class Chain:
     cut: float = 0.5
 
     def predict(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Probabilities (text, category)."""
+        """Probabilities (passage, category)."""
         hot = np.zeros(_HOT, bool)
         for link in self.links:
             hot[link.slots % _HOT] = True
@@ -143,27 +205,45 @@ class Chain:
         return out
 
 
-def fit_chain(ids: list[int], sets: list[np.ndarray], targets: dict[str, np.ndarray], weight: np.ndarray) -> Chain:
-    """Links in the order of ``targets``; folds are dealt by a checksum of the id."""
-    n = len(sets)
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    slots = np.concatenate(sets).astype(np.int64)
-    seen = np.bincount(slots, minlength=SLOTS)
-    clean = ~np.any([y > 0 for y in targets.values()], axis=0)
-    able = ((seen >= MIN_TEXTS) & ~common(rows, slots, clean))[slots]
-    rows, slots = rows[able], slots[able]
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities (text, category)."""
+        sets, per = features(texts)
+        return pooled(self.predict(sets), per) if len(per) else np.zeros((0, len(self.links)))
+
+
+def pooled(p: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Each text's probability from those of its ``per`` passages: the odds are the mean of theirs.
+
+    If any one passage may be the toxic one, this is Bayes' rule: a text's
+    likelihood ratio is the mean of its passages' ratios.
+    """
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    odds = (np.add.reduceat(p / (1 - p), np.cumsum(per) - per).T / per).T
+    return odds / (1 + odds)
+
+
+def fit_chain(ids: list[int], sets: list[np.ndarray], targets: dict[str, np.ndarray], weight: np.ndarray,
+              per: np.ndarray | None = None) -> Chain:
+    """Links in the order of ``targets``; folds are dealt by a checksum of the id.
+
+    ``sets`` are the passages' features, ``per`` each text's number of passages (one, if not given).
+    """
+    per = np.ones(len(ids), np.int64) if per is None else per
+    text = np.repeat(np.arange(len(per)), per)
+    data = Sample(sets, text, ~np.any([y > 0 for y in targets.values()], axis=0))
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids])
-    out, chain = np.zeros((n, 0)), Chain(list(targets))
+    out, chain = np.zeros((len(sets), 0)), Chain(list(targets))
     for y in targets.values():
-        chain.links.append(fit_linear(rows, slots, n, out, y, weight))
-        oof = np.zeros(n)
+        full = data.fit(out, y, weight)
+        oof = np.zeros(len(sets))
         for k in range(FOLDS):
             test = fold == k
             if test.any():
-                link = fit_linear(rows, slots, n, out, y, np.where(test, 0.0, weight)) if not test.all() else chain.links[-1]
-                oof[test] = _sigmoid(link.logits(rows, slots, n, out))[test]
+                link = data.fit(out, y, np.where(test, 0.0, weight)) if not test.all() else full
+                oof[test[text]] = _sigmoid(data.logits(link, out))[test[text]]
+        chain.links.append(Linear(data.names[full.slots], full.weights, full.chain, full.bias))
         out = np.column_stack((out, oof))
-    chain.cut = best_cut(out[:, -1], y, weight)
+    chain.cut = best_cut(pooled(out[:, -1], per), y, weight)
     return chain
 
 
@@ -183,9 +263,11 @@ def best_cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def _sets(it):
     for rb in batches(it, "text"):
-        sets = features(rb.column("text").to_pylist())
+        sets, per = features(rb.column("text").to_pylist(), MAX_FIT_PASSAGES)
+        cuts = np.cumsum(per).tolist()
+        x = [[s.tobytes() for s in sets[b - n : b]] for b, n in zip(cuts, per.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [rb.column("doc_id"), rb.column("targets"), rb.column("weight"), pa.array([s.tobytes() for s in sets], pa.binary())],
+            [rb.column("doc_id"), rb.column("targets"), rb.column("weight"), pa.array(x, pa.list_(pa.binary()))],
             ["doc_id", "targets", "weight", "x"])
 
 
@@ -202,13 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
     parts = [lab.where((F.col(names[-1]) > 0) == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_DOCS).withColumn(
         "weight", F.lit(max(sizes.get(side, 0) / MAX_FIT_DOCS, 1.0))) for side in (True, False)]
     some = parts[0].union(parts[1]).select("doc_id", F.array(*given).alias("targets"), "weight")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.length(F.coalesce("text", F.lit(""))) <= MAX_FIT_CHARS).join(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(some), "doc_id").mapInArrow(  # at most 2 x MAX_FIT_DOCS rows
-        _sets, "doc_id long, targets array<int>, weight double, x binary").dropDuplicates().orderBy("doc_id", "x").toArrow()
+        _sets, "doc_id long, targets array<int>, weight double, x array<binary>").dropDuplicates().orderBy("doc_id", "x").toArrow()
     if not rows.num_rows:
         return Chain(names, [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), -10.0) for i in range(len(names))])
-    sets = [np.frombuffer(b, np.int32) for b in rows.column("x").to_pylist()]
+    bags = rows.column("x").chunks
+    per = np.concatenate([b.value_lengths().to_numpy() for b in bags]).astype(np.int64)
+    sets = [np.frombuffer(x.as_buffer(), np.int64) for b in bags for x in b.flatten()]
     got = np.array(rows.column("targets").to_pylist(), float)
     toxic = (got[:, given.index(names[-1])] > 0).astype(float)
     targets = {}
@@ -217,8 +300,8 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
             targets[name] = (np.nan_to_num(got[:, given.index(name)]) > 0).astype(float)
         else:
             t = term_slots(terms)
-            targets[name] = toxic * np.array([np.isin(t, s).any() for s in sets])
-    return fit_chain(rows.column("doc_id").to_pylist(), sets, targets, np.array(rows.column("weight").to_pylist(), float))
+            targets[name] = toxic * np.maximum.reduceat([np.isin(t, s).any() for s in sets], np.cumsum(per) - per)
+    return fit_chain(rows.column("doc_id").to_pylist(), sets, targets, np.array(rows.column("weight").to_pylist(), float), per)
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, names: list[str], chain=CHAIN) -> tuple[DataFrame, float]:
@@ -226,7 +309,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, names: list[str], chain=CH
     model = train(docs, labels, chain)
 
     def scorer(texts):
-        return dict(zip(names, model.predict(features(texts)).T))
+        return dict(zip(names, model.of_texts(texts).T))
 
     return annotate(docs, scorer, names), model.cut
 
@@ -234,7 +317,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, names: list[str], chain=CH
 def toxicity_scores(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, a probability per category, rejected, kept.
 
-    Every whole text is scored. ``rejected`` is true from the cut on that does
+    Every whole text is scored, passage by passage. ``rejected`` is true from the cut on that does
     best on out-of-fold probabilities (weighted F1). Null and empty texts have
     no features and get the chain's base rate; without labels nothing is
     rejected. Rows may repeat and have null ids; other columns are ignored.

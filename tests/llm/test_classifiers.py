@@ -103,3 +103,45 @@ def test_frequent_toxic_terms_stay_in_a_full_sample():
     chain = toxicity.fit_chain(list(range(2 * n)), sets, {"toxic": y}, np.where(y > 0, 1.0, 9.0))
     assert 7 in chain.links[0].slots and 9 not in chain.links[0].slots
     assert (chain.predict(sets)[hot, 0] >= chain.cut).all()
+
+
+def test_toxicity_of_long_texts(spark):
+    """Long labelled texts reach the fit; of texts of any length, clean ones are kept and toxic ones are not."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 8))) for _ in range(6000)])
+    rare = 1 / np.arange(1, len(words) + 1)
+
+    def text(n, terms=0):
+        w = rng.choice(words, n, p=rare / rare.sum()).astype(object)
+        w[rng.integers(0, n, terms)] = rng.choice(["idiot", "loser", "scum"], terms)
+        return " ".join(w)
+
+    fit = [i for i in range(1, 500) if not held(i)]
+    rows = [(i, text(4500, 60 * (i % 4 == 0))) for i in fit]
+    assert min(len(t) for _, t in rows) > 20_000
+    clean = {1000 + i: text(n) for i, n in enumerate([1, 30, 300, 20_000, 100_000, 100_000])}
+    toxic = {2000 + i: text(n, n // 70 + 3) for i, n in enumerate([30, 300, 4500, 20_000, 100_000])}
+    docs = spark.createDataFrame([*rows, *clean.items(), *toxic.items()], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in fit], "doc_id long, toxic int")
+    got = {r.doc_id: r.rejected for r in toxicity.toxicity_scores(docs, lab).collect()}
+    assert not any(got[i] for i in clean) and all(got[i] for i in toxic)
+
+
+def test_long_joins_of_held_out_clean_texts(spark):
+    """Clean texts joined to some 200,000 characters are kept, also with terms that are new to the chain."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    pool = {}
+    for r in docs.collect():
+        if held(r.doc_id) and truth.get(r.doc_id) == 0 and r.text:
+            pool.setdefault(r.lang, []).append(r.text)
+    rng = np.random.default_rng(0)
+    long = []
+    for k in range(12):
+        texts = pool[["en", "de", "fr", "es"][k % 4]]
+        joined = "\n".join(texts[i] for i in rng.permutation(len(texts)))[:200_000]
+        long.append((10**9 + k, joined, None))
+    both = docs.union(spark.createDataFrame(long, docs.schema))
+    got = toxicity.toxicity_scores(both, table(spark, sf, "labels").select("doc_id", "toxic"))
+    assert got.where(f"doc_id >= {10**9} and rejected").count() == 0
