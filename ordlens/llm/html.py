@@ -6,7 +6,8 @@
    into the host's wrapper; every skeleton node is mapped to a wrapper node.
    Skeletons are merged in rounds of bounded groups, so a host with any number
    of pages or layouts is no single task.
-3. Per wrapper node, texts are counted over the host's distinct pages. A text
+3. Per wrapper node, texts are counted over the host's pages of distinct main
+   text, so copies of an article between other menus and adverts are one. A text
    that stands on most of them is constant: template. The others fill varying
    slots: content.
 4. A page's text is that of its varying slots inside the article (or, without
@@ -255,7 +256,7 @@ def _parse_pages(it):
             texts = [blocks[i][1] for i in main]
             rows.append((page, url, host, tree, xxhash.xxh64_intdigest(tree) - (1 << 63), [blocks[i][0].slot for i in main],
                          [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], texts,
-                         xxhash.xxh64_intdigest("\0".join(t for _, t in blocks)) - (1 << 63)))
+                         xxhash.xxh64_intdigest("\0".join(texts)) - (1 << 63)))
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()),
                  pa.list_(pa.string()), pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -311,8 +312,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Hosts are those of ``urlfilter.url_parts`` ('' for a null or odd url, which
-    is one host of its own). Null or empty html gives an empty text. Copies of
-    a page count once as evidence, and a host of fewer than ``MIN_PAGES``
+    is one host of its own). Null or empty html gives an empty text. Pages
+    of the same main text count once as evidence, whatever menus, adverts or
+    layout stand around it, and a host of fewer than ``MIN_PAGES``
     distinct pages has no template texts, so a repeated page keeps its text.
     Rows may repeat and have null ids, other columns are ignored, an empty
     table gives an empty result.
@@ -331,7 +333,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     seen = evidence.select("host", "content", F.explode(F.arrays_zip(
         F.transform("e.slots", lambda s: F.get("nodes", s)).alias("node"), F.col("e.hashes").alias("hash"))).alias("t")).select(
         "host", "content", "t.node", "t.hash")
-    n_pages = evidence.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    n_pages = evidence.groupBy("host").agg(F.count_distinct("content").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     counts = seen.distinct().groupBy("host", "node", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     # at most 1 / CONSTANT_SHARE times the texts of a page can stand on that share of the pages
     template = counts.join(n_pages, "host").where(F.col("n") >= F.col("pages") * CONSTANT_SHARE).groupBy("host").agg(

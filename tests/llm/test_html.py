@@ -54,3 +54,16 @@ def test_long_page(spark):
     src = page("<article>" + "".join(f"<p>w{i}</p>" for i in range(20_000)) + "</article>")
     got = html.main_text(spark.createDataFrame([(1, "http://a.com/", src, None, None)], PAGES)).collect()
     assert got[0].text == " ".join(f"w{i}" for i in range(20_000))
+
+
+def test_copies_with_other_chrome_count_once(spark):
+    """20 copies that differ only in advert, menu and layout are most of the host's pages, and keep their text."""
+    def body(article, i):
+        ads = "".join(f"<div class=ad><p>Advert {i} {j}</p></div><hr class=r{i % 5}>" for j in range(i % 3 + 1))
+        return page(f"<nav><a href=/>Menu {i}</a></nav>{ads}<article>{article}<p>Read our rules</p></article>")
+
+    rows = [(i, f"http://b.com/{i}", body("<h1>Same</h1><p>Story one</p><p>Story two</p>", i), "x", 1) for i in range(20)]
+    rows += [(100 + i, f"http://b.com/o{i}", body(f"<h1>Head {i}</h1><p>Own {i}</p>", i), "x", 1) for i in range(10)]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(by[i] == "Same Story one Story two" for i in range(20))
+    assert all(by[100 + i] == f"Head {i} Own {i}" for i in range(10))
