@@ -52,3 +52,16 @@ def test_empty(spark):
     assert urlfilter.url_verdicts(none, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/", None, None, None)], PAGES)
     assert [tuple(r) for r in urlfilter.url_verdicts(one, rules.limit(0)).collect()] == [(1, "a.com", "/", None, "allow")]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 4])
+def test_every_path_length_counts(spark, monkeypatch, limit):
+    """Rules of 1,200 different path lengths: each decides the URL of its own length."""
+    monkeypatch.setattr(urlfilter, "MAX_FILTER_BYTES", limit)
+    paths = ["/" + "p" * n for n in range(1200)]
+    rules = spark.createDataFrame([("a.com", p, "block" if i % 2 else "allow") for i, p in enumerate(paths)],
+                                  "host string, path string, verdict string")
+    some = [*range(0, 1200, 60), 1199]
+    pages = spark.createDataFrame([(i, f"http://a.com{paths[i]}", None, None, None) for i in some], PAGES)
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_verdicts(pages, rules).collect()}
+    assert got == {i: ("a.com" + paths[i], "block" if i % 2 else "allow") for i in some}
