@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,16 @@ from ordlens.llm.bpe import bpe_digests
 from ordlens.llm.html import main_text
 from ordlens.llm.mil import quality_scores
 from ordlens.llm.minhash import near_duplicates
+from ordlens.llm.negatives import hard_negatives
 from ordlens.llm.packing import pack
+from ordlens.llm.repair import repair_digests
 from ordlens.llm.rules import quality_rules
 from ordlens.llm.sharding import extendible_shards
+from ordlens.llm.tokencount import token_counts
 from ordlens.llm.topk import exact_top_k
 from ordlens.llm.toxicity import toxicity_scores
 from ordlens.llm.urlfilter import url_verdicts
+from ordlens.session import ensure_checkpoint_dir
 from ordlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,11 +173,11 @@ def op9_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
-def tokenizer_path() -> str:
-    """The public word-level BPE file that the queries use."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer file; without a name the word-level BPE one."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op4_best_fit_packing")
@@ -202,3 +208,94 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page of ``pages``."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents``; the corpus (its path) has a count cache of its own in the checkpoint folder."""
+    corpus = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    cache = os.path.join(ensure_checkpoint_dir(spark), f"token-counts-{corpus}")
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
+
+
+OP12_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+p AS (SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS n FROM s WHERE same QUALIFY n <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.a, n ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five positives of every anchor of ``embeddings``, and up to five hard negatives of each."""
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') AS conv, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+d0 AS (SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS code FROM k, t),
+d AS (SELECT conv, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d0 WHERE code <> 0),
+n0 AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS ini, lag(left(role, 1)) OVER w AS prev,
+    NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut
+  FROM d WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text))),
+n AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM n0),
+m AS (SELECT conv, max(i) AS m, greatest(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+    count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY conv),
+v(conv, i, f) AS (
+  SELECT conv, m + 1, [0, 10, 5, 0]::BIGINT[] FROM m
+  UNION ALL
+  SELECT conv, i, CASE WHEN x THEN list_transform(f, lambda c: c + 2)
+    ELSE [least(r[1], 5 + r[3], 10 + r[4]), least(r[2], 5 + r[3], 10 + r[4]), least(r[3], 5 + r[4]), least(r[4], 5 + r[3])] END
+  FROM (SELECT v.conv, n.i, f, blank OR again AS x, [
+      least(2 + f[1], 5 * cut::INT + CASE ini WHEN 'u' THEN f[3] WHEN 's' THEN least(f[2], 1 + f[3]) ELSE 1 + f[3] END),
+      least(2 + f[2], 5 * cut::INT + (ini <> 'u')::INT + f[3]), least(2 + f[3], 5 * cut::INT + (ini <> 'a')::INT + f[4]),
+      least(2 + f[4], 5 * cut::INT + (ini <> 'u')::INT + f[3])] AS r
+    FROM v JOIN n ON n.conv = v.conv AND n.i = v.i - 1)),
+e AS (SELECT v.conv, v.i, v.f, w.f AS g, n.role, n.text, n.ini, 5 * n.cut::INT AS c FROM v LEFT JOIN v w ON w.conv = v.conv AND w.i = v.i + 1
+  LEFT JOIN n ON n.conv = v.conv AND n.i = v.i),
+s(conv, i, s, audit, body) AS (
+  SELECT conv, 1::BIGINT, 1, '', '' FROM m
+  UNION ALL
+  SELECT conv, CASE WHEN op = 'I' THEN i ELSE i + 1 END,
+    CASE op WHEN 'D' THEN s WHEN 'K' THEN keep ELSE nxt END, audit || op,
+    body || CASE op WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+      WHEN 'R' THEN chr(10) || who || ':' || text ELSE chr(10) || who || ':' END
+  FROM (SELECT *, CASE WHEN g IS NULL THEN 'I' WHEN f[s] = 2 + g[s] THEN 'D' WHEN f[s] = 5 + f[nxt] THEN 'I'
+      WHEN f[s] = c + g[keep] THEN 'K' ELSE 'R' END AS op
+    FROM (SELECT s.*, f, g, c, role, text, CASE WHEN s = 3 THEN 4 ELSE 3 END AS nxt, CASE WHEN s = 3 THEN 'assistant' ELSE 'user' END AS who,
+        CASE WHEN ini = 's' AND s = 1 THEN 2 WHEN ini = 'u' AND s <> 3 THEN 3 WHEN ini = 'a' AND s = 3 THEN 4 END AS keep
+      FROM s JOIN e ON e.conv = s.conv AND e.i = s.i WHERE g IS NOT NULL OR s IN (2, 3)))),
+o AS (SELECT s.conv, audit, body FROM s JOIN m ON m.conv = s.conv AND i = m + 1 AND s IN (1, 4))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(f[1], 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(substr(body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM k) LEFT JOIN m USING (conv) LEFT JOIN o USING (conv)
+LEFT JOIN (SELECT conv, f FROM v WHERE i = 1) USING (conv)
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edit script and repaired digest of every conversation of ``conversations``."""
+    return repair_digests(table(spark, sf_dir, "conversations"))
