@@ -54,6 +54,7 @@ def test_versions_are_apart_and_empty_tables_are_empty(spark, tmp_path):
 
 def test_slices_add_up(library, monkeypatch):
     monkeypatch.setattr(tokencount, "SLICE_CHARS", 7)
+    monkeypatch.setattr(tokencount, "WORDS", 5)
     c = tokencount.Counter(tokenizer_path(FILE))
     for t in [*ODD, " ".join(ODD) * 3, "x" * 40, " " * 40 + "y", "a \n b" * 9]:
         assert "".join(c.slices(t)) == t and c.counts([t]) == [len(library.encode(t, add_special_tokens=False).ids)]
