@@ -33,12 +33,10 @@ hit AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, {R.T
 
 def passage_hits(spark, sf_dir):
     """(item_id, rank, chunk_id, doc_id, score, text): the best chunks of every benchmark passage."""
-    ch, idf, vectors, n = PT.policy_index(spark, sf_dir)
+    index = PT.policy_index(spark, sf_dir)
     q = Tables(spark, sf_dir).benchmark.select("item_id", "text")
-    qv = TO.tfidf_vectors(TO.term_counts(q, "item_id", "text", PT.TFIDF_DIM), idf, "item_id", q)
-    hits = R.knn_topk(qv, vectors, TOP_CHUNKS, query_id="item_id", query_vec="val", corpus_id="chunk_id",
-                      corpus_vec="val", sparse_dim=PT.TFIDF_DIM, n_corpus=n)
-    return ch, q, hits.join(ch.select(F.col("chunk_id").alias("vec_id"), "doc_id", "text"), "vec_id")
+    hits = index.top_k(q, "item_id", "text", TOP_CHUNKS).withColumnRenamed("item_id", "query_id")
+    return index.chunks, q, hits.join(index.chunks.select(F.col("chunk_id").alias("vec_id"), "doc_id", "text"), "vec_id")
 
 
 @query("benchmark_answers", "WITH " + SQL_PASSAGES + """,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordlens.functions import text as TX
 from ordlens.operators import metrics as M
 from ordlens.operators import retrieval as R
+from ordlens.operators import search as SE
 from ordlens.operators import routing as RT
 from ordlens.operators import sampling as SM
 from ordlens.operators import stats as ST
@@ -167,25 +168,30 @@ def test_block_topk_dense_matches_brute_force(spark, block):
         assert mine == order
 
 
-def test_block_topk_sparse_matches_dense(spark):
+def test_posting_topk_matches_dense(spark):
+    """Salted postings, pruned terms, ties and queries with few partners against dense products."""
     rng = np.random.default_rng(5)
-    dim = 30
-    rows = []
-    for i in range(120):
-        idx = sorted(rng.choice(dim, rng.integers(1, 6), replace=False).tolist())
-        val = rng.random(len(idx)).tolist()
-        rows.append((i, idx, val))
-    df = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
-    got = R.knn_topk(df.withColumnRenamed("id", "query_id"), df, 3, corpus_id="id", query_vec="val",
-                     corpus_vec="val", sparse_dim=dim, block_rows=16, corpus_block_rows=25).collect()
-    m = np.zeros((120, dim))
-    for i, idx, val in rows:
-        m[i, idx] = val
-    s = m @ m.T
-    for qi in range(120):
-        order = sorted(range(120), key=lambda j: (-round(s[qi, j], R.TIE_DIGITS), j))[:3]
-        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == qi), key=lambda r: r.rank)]
-        assert mine == order
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9), p=np.array([30, 20] + [1] * 38) / 88)) for _ in range(150)]
+    texts += ["w0", "w0 w1", "", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tf = TO.term_counts(df, "id", "text", 1 << 12)
+    terms, postings = SE.term_postings(tf, TO.fit_idf(tf, len(texts)), "id", postings=7)
+    assert terms.agg(F.max("salts")).first()[0] > 3
+    slot = {(r.id, r.j): r.w for r in postings.withColumnRenamed("chunk_id", "id").collect()}
+    place = {j: i for i, j in enumerate(sorted({j for _, j in slot}))}
+    m = np.zeros((len(texts), len(place)))
+    for (i, j), w in slot.items():
+        m[i, place[j]] = w
+    s, shared = m @ m.T, (m > 0).astype(int) @ (m > 0).astype(int).T
+    for k, seeds in ((3, 5), (3, 10_000), (500, 5)):
+        got = SE.posting_topk(SE.query_weights(tf.withColumnRenamed("id", "q"), terms, "q"), postings, k, "q", seed_postings=seeds)
+        got = got.collect()
+        for q in range(len(texts)):
+            want = sorted((j for j in range(len(texts)) if shared[q, j]), key=lambda j: (-round(s[q, j], R.TIE_DIGITS), j))[:k]
+            mine = sorted((r for r in got if r.q == q), key=lambda r: r.rank)
+            assert [r.vec_id for r in mine] == want
+            assert all(abs(r.score - s[q, r.vec_id]) < 1e-12 for r in mine)
 
 
 def test_tfidf_vectors_are_unit_norm(spark):
