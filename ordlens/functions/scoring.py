@@ -61,6 +61,23 @@ def scorecard_logit(fit_risk_categories=FIT_RISK_CATEGORIES, cod_method=COD_METH
             + F.lit(c["tenure"]) * F.tanh(F.col("customer_tenure_days") / 500))
 
 
+def scorecard_sql(fit_risk_categories=FIT_RISK_CATEGORIES, cod_method=COD_METHOD) -> str:
+    """:func:`scorecard_logit` as SQL text that Spark and DuckDB both read."""
+    c = {k: f"CAST({v} AS DOUBLE)" for k, v in SCORECARD.items()}
+    names = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    cods = (cod_method,) if isinstance(cod_method, str) else tuple(cod_method)
+    return f"""({c["intercept"]}
+     + {c["prev_return_ratio"]} * CASE WHEN num_previous_orders > 0
+            THEN CAST(num_previous_returns AS DOUBLE) / greatest(num_previous_orders, 1) ELSE CAST(0 AS DOUBLE) END
+     + {c["fit_risk"]} * CAST(product_category IN ({names(fit_risk_categories)}) AS DOUBLE)
+     + {c["discount"]} * (discount_pct - 20) / 10
+     + {c["cod"]} * CAST(payment_method IN ({names(cods)}) AS DOUBLE)
+     + {c["delivery_days"]} * (delivery_days - CAST(4.5 AS DOUBLE)) / 2
+     + {c["price"]} * (price_inr / CAST({PRICE_SCALE} AS DOUBLE))
+     + {c["weekend"]} * is_weekend_order
+     + {c["tenure"]} * tanh(customer_tenure_days / CAST(500 AS DOUBLE)))"""
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

@@ -8,26 +8,27 @@ Threshold tuning uses a validation fold carved from the training rows
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import hashlib
+import os
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..artifacts import Artifacts
 from ..functions import scoring as S
 from ..operators import importance as IM
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling as SM
-from ..operators import stats as ST
 from ..operators.features import FEATURE_ORDER, FEATURES_CATEGORICAL, FEATURES_NUMERIC
 from ..session import materialize, scratch_path
+from ..sources import sinks as SK
 from ..sources.tables import Tables
 from . import orders as PO
+from . import risk as RK
 from .registry import query
 
-LR_C = 1.0
-RF_TREES, RF_DEPTH = 100, 6
-RF_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, 30]}  # "no limit" = Spark's cap of 30
 HEAD_GRID = [(0.0, 100), (0.001, 100), (0.01, 100)]          # (regParam, maxIter) candidates
 QUALITY_GATE = 0.80
 
@@ -47,7 +48,6 @@ def _perm_sql() -> str:
                       f"  FROM pairs JOIN hold h ON h.order_id = pairs.order_id JOIN hold d ON d.order_id = pairs.donor")
     blocks.append("SELECT '__base__', 0, returned, " + ", ".join(cols) + " FROM hold")
     union = "\n  UNION ALL\n  ".join(blocks)
-    fit = ", ".join(f"'{c}'" for c in PO.FIT_RISK)
     return PO.SQL_SPLIT + f""",
 hold AS (SELECT * FROM split WHERE split = 'test'),
 pos0 AS (SELECT order_id, row_number() OVER (
@@ -61,18 +61,7 @@ posr AS (SELECT reps.r, hold.order_id, row_number() OVER (PARTITION BY reps.r OR
 pairs AS (SELECT pr.r, p0.order_id, pr.order_id AS donor FROM pos0 p0 JOIN posr pr ON pr.pos = p0.pos),
 perm AS (
   {union}),
-pscored AS (
-  SELECT feature, repeat, label, 1.0 / (1.0 + exp(-(-2.2
-     + 1.9 * CASE WHEN num_previous_orders > 0
-                  THEN num_previous_returns / greatest(num_previous_orders, 1) ELSE 0.0 END
-     + 0.55 * CAST(product_category IN ({fit}) AS DOUBLE)
-     + 0.014 * (discount_pct - 20) / 10
-     + 0.9 * CAST(payment_method = '{PO.COD}' AS DOUBLE)
-     + 0.10 * (delivery_days - 4.5) / 2
-     + 0.30 * (price_inr / 45000.0)
-     + 0.05 * is_weekend_order
-     - 0.15 * tanh(customer_tenure_days / 500)))) AS p
-  FROM perm),
+pscored AS (SELECT feature, repeat, label, 1.0 / (1.0 + exp(-{S.scorecard_sql(PO.FIT_RISK, PO.COD)})) AS p FROM perm),
 per_p AS (SELECT feature, repeat, p, count(*) FILTER (WHERE label = 1) AS pos,
                  count(*) FILTER (WHERE label = 0) AS neg
           FROM pscored GROUP BY feature, repeat, p),
@@ -97,47 +86,22 @@ def q_permutation_importance(spark, sf_dir):
 
 
 # ------------------------------------------------------- Spark ML models ---
-def _prepared(spark, sf_dir):
-    """Split features with fold, class weights and the fitted prep stages."""
-    sp = PO.split_features_table(spark, sf_dir).withColumnRenamed("returned", "label")
-    train = sp.where(F.col("split") == "train")
-    test = sp.where(F.col("split") == "test")
-    folds = SM.stratified_folds(train.select("order_id", "label"), "label", "order_id", 5, PO.FOLD_SEED)
-    train = train.join(folds.select("order_id", "fold"), "order_id")
-    weights = ST.class_weights(train, "label")
-    train = ML.with_balanced_weights(train, "label", weights)
-    test = ML.with_balanced_weights(test, "label", weights)
-    # fitting reads the training rows many times (statistics, solver passes,
-    # folds): materialise both sides once instead of re-deriving the features
-    return materialize(train, "train"), materialize(test, "test"), weights
-
-
-def _lr_reg(train: DataFrame) -> float:
-    total_w = train.agg(F.sum("w")).first()[0]
-    return 1.0 / (LR_C * total_w)
-
-
-def _fit(train: DataFrame, estimator):
-    prep = ML.fit_prep_stages(train, FEATURES_NUMERIC, FEATURES_CATEGORICAL)
-    return Pipeline(stages=prep + [estimator]).fit(train)
-
-
-def _scores(model, df: DataFrame) -> DataFrame:
-    return ML.positive_probability(model.transform(df)).select("order_id", "label", "p", *FEATURES_CATEGORICAL)
+def _scores(model: RK.RiskModel, df: DataFrame) -> DataFrame:
+    return model.score(df).select("order_id", "label", "p", *FEATURES_CATEGORICAL)
 
 
 @query("logreg_scores")
 def q_logreg(spark, sf_dir):
-    train, test, _ = _prepared(spark, sf_dir)
-    model = _fit(train, ML.logistic("label", True, _lr_reg(train)))
-    return _scores(model, test).select("order_id", "label", F.round("p", 6).alias("p"))
+    _, test = RK.prepared(spark, sf_dir)
+    return _scores(RK.risk_model(spark, sf_dir, "logistic", tuned=False), test).select(
+        "order_id", "label", F.round("p", 6).alias("p"))
 
 
 @query("rf_scores")
 def q_rf(spark, sf_dir):
-    train, test, _ = _prepared(spark, sf_dir)
-    model = _fit(train, ML.forest("label", RF_TREES, RF_DEPTH))
-    return _scores(model, test).select("order_id", "label", F.round("p", 6).alias("p"))
+    _, test = RK.prepared(spark, sf_dir)
+    return _scores(RK.risk_model(spark, sf_dir, "forest", tuned=False), test).select(
+        "order_id", "label", F.round("p", 6).alias("p"))
 
 
 def _rf_importance(model, sample: DataFrame) -> DataFrame:
@@ -152,48 +116,25 @@ def _rf_importance(model, sample: DataFrame) -> DataFrame:
 @query("rf_importance")
 def q_rf_importance(spark, sf_dir):
     """ML6/ML7: impurity importance per encoded slot with its source column."""
-    train, _, _ = _prepared(spark, sf_dir)
-    model = _fit(train, ML.forest("label", RF_TREES, RF_DEPTH))
-    imp = _rf_importance(model, train)
+    train, _ = RK.prepared(spark, sf_dir)
+    imp = _rf_importance(RK.risk_model(spark, sf_dir, "forest", tuned=False).pipeline, train)
     return imp.select("feature", "source_column", F.round("importance", 6).alias("importance"),
                       F.rank().over(Window.orderBy(F.col("importance").desc(), "feature")).alias("rank"))
 
 
-def rf_grid_search(spark, sf_dir):
-    """ML4: 5-fold grid search on exact stratified folds (AUC), best refit.
-
-    Not registered as a query: the reference grid is 6 points x 5 folds + a
-    refit (31 forests, depth up to 30), which takes minutes even on the
-    smallest tables in local mode. Call it as a job.
-    """
-    train, test, _ = _prepared(spark, sf_dir)
-    prep = ML.fit_prep_stages(train, FEATURES_NUMERIC, FEATURES_CATEGORICAL)
-    est = ML.forest("label", RF_TREES, RF_DEPTH)
-    cvm = ML.cross_validate(prep, est, train, [RF_GRID], "label", parallelism=4)
-    rows = []
-    for pm, metric in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics):
-        d = {p.name: v for p, v in pm.items()}
-        rows.append((int(d["numTrees"]), int(d["maxDepth"]), float(metric)))
-    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
-    test_auc = M.roc_auc(_scores(cvm.bestModel, test)).first()["roc_auc"]
-    data = [(t, dpt, round(m, 6), i == best, test_auc if i == best else None)
-            for i, (t, dpt, m) in enumerate(rows)]
-    return spark.createDataFrame(data, "num_trees int, max_depth int, cv_auc double, best boolean, test_auc double")
-
-
 @query("importance_compare")
 def q_importance_compare(spark, sf_dir):
     """ML9: top-5 impurity slots, their source column and its permutation rank."""
-    train, test, _ = _prepared(spark, sf_dir)
-    model = _fit(train, ML.forest("label", RF_TREES, RF_DEPTH))
-    imp = _rf_importance(model, train)
+    train, test = RK.prepared(spark, sf_dir)
+    model = RK.risk_model(spark, sf_dir, "forest", tuned=False)
+    imp = _rf_importance(model.pipeline, train)
     top = imp.select("feature", "source_column", F.round("importance", 6).alias("impurity_importance"),
                      F.rank().over(Window.orderBy(F.col("importance").desc(), "feature")).alias("impurity_rank")
                      ).where(F.col("impurity_rank") <= 5)
     hold = test.select("order_id", "label", *FEATURE_ORDER)
 
     def score(df):
-        return ML.positive_probability(model.transform(df.withColumn("w", F.lit(1.0))))
+        return model.score(df)
 
     perm = IM.permutation_importance(hold, "order_id", "label", FEATURE_ORDER, score, PO.PERM_REPEATS,
                                      PO.PERM_SEED)
@@ -212,30 +153,50 @@ def _metrics_at(scored: DataFrame, t: float, model: str, cutoff: str) -> DataFra
 def q_model_comparison(spark, sf_dir):
     """ML17: LR and RF at 0.5 and at the F1-best threshold tuned on a
     validation fold of the training rows (fit on the other folds)."""
-    train, test, _ = _prepared(spark, sf_dir)
-    fit_part = train.where(F.col("fold") != 0)
-    val = train.where(F.col("fold") == 0)
+    _, test = RK.prepared(spark, sf_dir)
     out = None
-    for name, est in (("logistic_regression", ML.logistic("label", True, _lr_reg(fit_part))),
-                      ("random_forest", ML.forest("label", RF_TREES, RF_DEPTH))):
-        model = _fit(fit_part, est)
-        t_best = M.best_threshold(M.threshold_sweep(_scores(model, val))).first()["threshold"]
-        ts = _scores(model, test)
-        auc = M.roc_auc(ts).select(F.col("roc_auc"))
-        part = (_metrics_at(ts, 0.5, name, "default").unionByName(_metrics_at(ts, t_best, name, "tuned_on_val")))
-        part = part.withColumn("roc_auc", F.lit(auc.first()["roc_auc"]))
+    for name, kind in (("logistic_regression", "logistic"), ("random_forest", "forest")):
+        model = RK.risk_model(spark, sf_dir, kind)
+        ts = materialize(_scores(model, test), "test-scores")
+        part = _metrics_at(ts, 0.5, name, "default").unionByName(_metrics_at(ts, model.threshold, name, "tuned_on_val"))
+        part = part.withColumn("roc_auc", F.lit(M.roc_auc(ts).first()["roc_auc"]))
         out = part if out is None else out.unionByName(part)
+    out = materialize(out, "model-comparison")
+    _record(spark, sf_dir, out)
     return out
 
 
+def _record(spark, sf_dir, comparison: DataFrame) -> str:
+    """SNK7: the comparison's values as metrics of the run over this snapshot; returns the table's path."""
+    path = os.path.join(Artifacts(spark).root, "metrics")
+    run = hashlib.sha256(RK.base_snapshot(spark, sf_dir).encode()).hexdigest()[:16]
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in (
+        "threshold", "accuracy", "precision", "recall", "f1", "roc_auc")])).alias("m")
+    SK.append_metrics(comparison.select("model", "cutoff", values).select(
+        F.lit(f"compare-{run}").alias("run_id"), F.concat_ws("_", "model", "cutoff", "m.name").alias("metric"), "m.value"), path)
+    return path
+
+
+@query("metrics_table", "SELECT m || '_' || c || '_' || v AS metric, 1::BIGINT AS copies FROM (SELECT unnest(["
+       "'logistic_regression', 'random_forest']) AS m), (SELECT unnest(['default', 'tuned_on_val']) AS c), (SELECT unnest(["
+       "'threshold', 'accuracy', 'precision', 'recall', 'f1', 'roc_auc']) AS v)")
+def q_metrics_table(spark, sf_dir):
+    """The metrics of the comparison, read back after it was recorded twice: one copy of each."""
+    comparison = q_model_comparison(spark, sf_dir)
+    path = _record(spark, sf_dir, comparison)
+    run = "compare-" + hashlib.sha256(RK.base_snapshot(spark, sf_dir).encode()).hexdigest()[:16]
+    rows = spark.read.schema("value double, run_id string, metric string").parquet(path).where(F.col("run_id") == run)
+    return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("reload_parity", "WITH " + PO.SQL_SPLIT + """
 SELECT count(*) AS n_rows, 0::BIGINT AS n_unmatched, 0.0::DOUBLE AS max_abs_diff FROM split WHERE split = 'test'""")
 def q_reload_parity(spark, sf_dir):
     """ML11/JN6: save the fitted pipeline, reload it, re-score, compare."""
-    train, test, _ = _prepared(spark, sf_dir)
-    model = _fit(train, ML.logistic("label", True, _lr_reg(train)))
-    reloaded = ML.save_and_reload(model, scratch_path(spark, "risk-model"))
-    a = _scores(model, test).select("order_id", F.col("p").alias("p_saved"))
+    train, test = RK.prepared(spark, sf_dir)
+    fitted = RK.RiskModel(RK.fit("logistic", train), None, "")
+    reloaded = RK.RiskModel(ML.save_and_reload(fitted.pipeline, scratch_path(spark, "risk-model")), None, "")
+    a = _scores(fitted, test).select("order_id", F.col("p").alias("p_saved"))
     b = _scores(reloaded, test).select("order_id", F.col("p").alias("p_reloaded"))
     j = a.join(b, "order_id", "full")
     return j.agg(F.count(F.lit(1)).alias("n_rows"),

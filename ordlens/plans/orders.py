@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..artifacts import Artifacts, snapshot
 from ..functions import scoring as S
 from ..operators import features as FT
 from ..operators import metrics as M
 from ..operators import sampling as SM
 from ..operators import stats as ST
-from ..session import materialize
 from ..sources.tables import Tables
 from .registry import query
 
@@ -34,9 +34,14 @@ SLICE_DIMS = ["product_category", "payment_method"]
 # --------------------------------------------------------------------------
 
 
+BASE_TABLES = ("orders", "lineitem", "part", "supplier", "customer")
+
+
 def order_features(spark, sf_dir) -> DataFrame:
+    """The feature table, built once per version of its five base tables."""
     t = Tables(spark, sf_dir)
-    return FT.order_features(t.orders, t.lineitem, t.part, t.supplier, t.customer)
+    return Artifacts(spark).table("order-features", snapshot(spark, sf_dir, BASE_TABLES), lambda: FT.order_features(
+        t.orders, t.lineitem, t.part, t.supplier, t.customer))
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -53,14 +58,12 @@ def split_features(spark, sf_dir) -> DataFrame:
 
 
 def split_features_table(spark, sf_dir) -> DataFrame:
-    """:func:`split_features` written once as parquet in the shared checkpoint
-    folder, for queries that read it several times (fits, statistics)."""
-    return materialize(split_features(spark, sf_dir), "split_features")
+    """:func:`split_features` as a table, for queries that read it several times (fits, statistics)."""
+    return Artifacts(spark).table("order-split", snapshot(spark, sf_dir, BASE_TABLES), lambda: split_features(spark, sf_dir),
+                                  fraction=0.2, seed=SPLIT_SEED)
 
 
 # ---------------------------------------------------------------- SQL ---
-_FIT = ", ".join(f"'{c}'" for c in FIT_RISK)
-
 SQL_FEATURES = """
 li AS (
   SELECT l_orderkey,
@@ -105,18 +108,7 @@ order_features AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 SQL_SCORED = SQL_FEATURES + f""",
-z AS (
-  SELECT *, -2.2
-     + 1.9 * CASE WHEN num_previous_orders > 0
-                  THEN num_previous_returns / greatest(num_previous_orders, 1) ELSE 0.0 END
-     + 0.55 * CAST(product_category IN ({_FIT}) AS DOUBLE)
-     + 0.014 * (discount_pct - 20) / 10
-     + 0.9 * CAST(payment_method = '{COD}' AS DOUBLE)
-     + 0.10 * (delivery_days - 4.5) / 2
-     + 0.30 * (price_inr / 45000.0)
-     + 0.05 * is_weekend_order
-     - 0.15 * tanh(customer_tenure_days / 500) AS logit
-  FROM order_features),
+z AS (SELECT *, {S.scorecard_sql(FIT_RISK, COD)} AS logit FROM order_features),
 scored AS (
   SELECT order_id, returned AS label, 1.0 / (1.0 + exp(-logit)) AS p, product_category, payment_method
   FROM z)"""
@@ -434,45 +426,36 @@ def q_imputed_scaled(spark, sf_dir):
     return sp.select("order_id", "split", *cols)
 
 
-SQL_VALID_INPUT = """
-lines AS (
-  SELECT l_orderkey, round(sum(l_extendedprice), 2) AS price_inr,
-         round(avg(l_discount) * 100, 4) AS discount_pct
-  FROM lineitem GROUP BY l_orderkey),
+# An order request takes what the base tables give it: an order without lines has no line values, one without a
+# known customer, part or supplier lacks what they would tell.
+SQL_VALID_INPUT = SQL_FEATURES + """,
 requests AS (
-  SELECT o.o_orderkey AS order_id, o.o_orderpriority AS payment_method, l.price_inr, l.discount_pct
-  FROM orders o LEFT JOIN lines l ON l.l_orderkey = o.o_orderkey)"""
+  SELECT o.o_orderkey AS order_id, f.* EXCLUDE (order_id, payment_method), o.o_orderpriority AS payment_method
+  FROM orders o LEFT JOIN order_features f ON f.order_id = o.o_orderkey)"""
 
 
 def _valid_requests(spark, sf_dir) -> DataFrame:
-    """Order requests: every order, line aggregates left-joined (null when absent)."""
-    t = Tables(spark, sf_dir)
-    lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("price_inr"),
-        F.round(F.avg("l_discount") * 100, 4).alias("discount_pct"))
-    o = t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("payment_method"))
-    return o.join(lines, o.order_id == lines.l_orderkey, "left").drop("l_orderkey")
+    """Order requests: every order with its features (null where the tables have none)."""
+    o = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("payment_method"))
+    return o.join(order_features(spark, sf_dir).drop("payment_method", "returned"), "order_id", "left")
 
 
-_REQ = ["payment_method", "price_inr", "discount_pct"]
+_REQUIRED = [c for c in FT.FEATURE_ORDER if c != "rating_given"]
 
 
 @query("validated_orders", _with(
-    "SELECT order_id, payment_method, price_inr, discount_pct FROM requests "
-    "WHERE payment_method IS NOT NULL AND price_inr IS NOT NULL AND discount_pct IS NOT NULL",
-    SQL_VALID_INPUT))
+    "SELECT order_id, payment_method, price_inr, discount_pct FROM requests WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _REQUIRED), SQL_VALID_INPUT))
 def q_validated(spark, sf_dir):
-    good, _ = FT.split_valid(_valid_requests(spark, sf_dir), required=_REQ)
-    return good.select("order_id", *_REQ)
+    good, _ = FT.split_valid(_valid_requests(spark, sf_dir))
+    return good.select("order_id", "payment_method", "price_inr", "discount_pct")
 
 
 @query("rejects", _with(
-    """SELECT order_id, 'Missing required order features: ' || concat_ws(', ',
-         CASE WHEN payment_method IS NULL THEN 'payment_method' END,
-         CASE WHEN price_inr IS NULL THEN 'price_inr' END,
-         CASE WHEN discount_pct IS NULL THEN 'discount_pct' END) AS error
-    FROM requests
-    WHERE payment_method IS NULL OR price_inr IS NULL OR discount_pct IS NULL""", SQL_VALID_INPUT))
+    "SELECT order_id, 'Missing required order features: ' || concat_ws(', ', "
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _REQUIRED) + ") AS error FROM requests WHERE "
+    + " OR ".join(f"{c} IS NULL" for c in _REQUIRED), SQL_VALID_INPUT))
 def q_rejects(spark, sf_dir):
-    _, bad = FT.split_valid(_valid_requests(spark, sf_dir), required=_REQ)
+    """VAL1 over all eleven fields (the rating may be null)."""
+    _, bad = FT.split_valid(_valid_requests(spark, sf_dir))
     return bad.select("order_id", "error")

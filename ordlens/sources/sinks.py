@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..artifacts import Artifacts
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK1: header CSV, no index column."""
@@ -40,8 +42,13 @@ def write_config(spark: SparkSession, path: str, **values) -> DataFrame:
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
-    """SNK7: append ``(run_id, metric, value)`` rows."""
-    df.select("run_id", "metric", F.col("value").cast("double")).write.mode("append").parquet(path)
+    """SNK7: add ``(run_id, metric, value)`` rows to a metrics table.
+
+    A (run_id, metric) is one partition and is replaced as a whole, so a
+    retried or repeated run leaves one copy and touches no other run.
+    """
+    (df.select("run_id", "metric", F.col("value").cast("double").alias("value")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "metric").parquet(path))
 
 
 def cached_table(spark: SparkSession, path: str, build, snapshot: str, version: str = "1") -> DataFrame:
@@ -50,10 +57,5 @@ def cached_table(spark: SparkSession, path: str, build, snapshot: str, version:
     A changed input or version builds its own copy beside the old one, so no
     stale rows are served.
     """
-    path = f"{path}/snapshot={snapshot}/version={version}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    store = Artifacts(spark, path)
+    return store.table("table", f"{snapshot}:{version}", build)
