@@ -7,9 +7,9 @@ table in one window:
 * the threshold sweep buckets each row once against the grid and sums a
   histogram whose size is the grid, not the data (AGG14/15);
 * ROC-AUC sums, per distinct score, positives x negatives below it. The
-  "below" count is a two-level prefix: fixed score buckets (a table of at
-  most ``n_buckets`` rows per group) give offsets, and only scores of one
-  bucket are ordered together (AGG13);
+  "below" count is a two-level prefix: ranges of scores (as many as
+  partitions) give offsets, and only scores of one range are ordered
+  together (AGG13);
 * slices are one GROUPING SETS pass (AGG16-18).
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import join_null_safe
 from ..functions.scoring import safe_div
+from ..session import materialize
 
 
 def _cells(pred, label):
@@ -104,18 +105,23 @@ def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def auc_counts(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(),
-               n_buckets: int = 1 << 16) -> DataFrame:
+               n_buckets: int | None = None) -> DataFrame:
     """Exact integer parts of the AUC per group: ``(n_pos, n_neg, num2)``.
 
     ``num2`` = sum over distinct scores s of pos(s) * (2 neg(< s) + neg(s)), so
     AUC = num2 / (2 n_pos n_neg). Rows with a null or NaN score have no place
     in the order and take no part.
+
+    Distinct scores are dealt into ranges whose bounds come from a sample of
+    the scores themselves (range partitioning), so crowded scores are spread
+    like any others; ``n_buckets`` is the number of ranges (None: Spark's).
     """
     g = list(group_cols)
     per_p = (scored.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*g, p)
              .agg(F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
                   F.count(F.when(F.col(label) == 0, 1)).alias("_neg")))
-    per_p = per_p.withColumn("_bk", F.least(F.greatest(F.floor(F.col(p) * n_buckets), F.lit(0)), F.lit(n_buckets - 1)))
+    ranges = per_p.repartitionByRange(*([n_buckets] if n_buckets else []), *g, p)
+    per_p = materialize(ranges.withColumn("_bk", F.spark_partition_id()), "auc-scores")
     per_bucket = per_p.groupBy(*g, "_bk").agg(F.sum("_neg").alias("_bneg"))
     w_b = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*g, "_bk", F.coalesce(F.sum("_bneg").over(w_b), F.lit(0)).alias("_off"))
@@ -127,7 +133,7 @@ def auc_counts(scored: DataFrame, label: str = "label", p: str = "p", group_cols
                                    F.sum("_c").alias("num2"))
 
 
-def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(), n_buckets: int = 1 << 16) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", group_cols=(), n_buckets: int | None = None) -> DataFrame:
     """AGG13: exact ROC-AUC with ties counted one half, per group (null without both classes)."""
     c = auc_counts(scored, label, p, group_cols, n_buckets)
     return c.select(*group_cols, "n_pos", "n_neg", F.round(

@@ -14,11 +14,14 @@ maps unseen (and null) values to all zeros, as the reference's encoder does.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import threading
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,20 +89,79 @@ def positive_probability(model_out: DataFrame, out: str = "p") -> DataFrame:
     return model_out.withColumn(out, vector_to_array("probability")[1])
 
 
-def cross_validate(prep: list, estimator, train_with_fold: DataFrame, grid: list[dict], label: str,
-                   parallelism: int = 4, num_folds: int = 5):
+class PreparedEstimator(Estimator):
+    """Preparation and a classifier as one estimator: every fit learns its own statistics (ML4).
+
+    In a cross-validation the preparation is therefore fitted on the training
+    part of each fold, once for all points of the grid. The model is a
+    ``PipelineModel`` of plain stages, so it is saved and loaded as such.
+    """
+
+    def __init__(self, classifier: Estimator, numeric, categorical):
+        super().__init__()
+        self.classifier, self.numeric, self.categorical = classifier, list(numeric), list(categorical)
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.classifier = self.classifier.copy(extra)
+        return that
+
+    def _prepare(self, dataset: DataFrame) -> PipelineModel:
+        return Pipeline(stages=fit_prep_stages(dataset, self.numeric, self.categorical)).fit(dataset)
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        prep = self._prepare(dataset)
+        return PipelineModel(stages=[*prep.stages, self.classifier.fit(prep.transform(dataset))])
+
+    def fitMultiple(self, dataset, paramMaps):  # noqa: N802
+        prep = self._prepare(dataset)
+        ready = prep.transform(dataset)
+        return _Fits(lambda i: PipelineModel(stages=[*prep.stages, self.classifier.fit(ready, paramMaps[i])]), len(paramMaps))
+
+
+class _Fits:
+    """(index, model) for each point of a grid; threads may draw from it at once."""
+
+    def __init__(self, fit, n: int):
+        self.fit, self.numbers, self.lock = fit, iter(range(n)), threading.Lock()
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        with self.lock:
+            i = next(self.numbers)
+        return i, self.fit(i)
+
+
+def cross_validate(estimator: PreparedEstimator, train_with_fold: DataFrame, grid: dict, label: str, parallelism: int = 4,
+                   num_folds: int = 5):
     """ML4: grid search on a fixed fold column (exact stratified folds), AUC,
-    refit of the best point on all training rows."""
+    refit of the best point (the first of equals) on all training rows."""
     pg = ParamGridBuilder()
-    for param, values in grid[0].items():
-        pg = pg.addGrid(getattr(estimator, param), values)
-    cv = CrossValidator(estimator=Pipeline(stages=prep + [estimator]), estimatorParamMaps=pg.build(),
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC",
-                                                                numBins=0),
+    for param, values in grid.items():
+        pg = pg.addGrid(getattr(estimator.classifier, param), values)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=pg.build(),
+                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
                         foldCol="fold", numFolds=num_folds, parallelism=parallelism, seed=42)
     return cv.fit(train_with_fold)
 
 
+def gradient(scored: DataFrame, residuals: list, weight=None, features: str = "features") -> list[list[float]]:
+    """Per residual column: the weighted mean of residual x (features, 1), the data part of a linear model's gradient.
+
+    One aggregation; a row adds one vector of all residuals' products.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    x = F.concat(vector_to_array(features), F.array(F.lit(1.0)))
+    scaled = lambda by: F.transform(x, lambda v: v * by)
+    parts = [scaled(r * w) for r in residuals]
+    sums, total, width = scored.select(array_to_vector(F.concat(*parts)).alias("v"), w.alias("w"), F.size(x).alias("n")).agg(
+        Summarizer.sum(F.col("v")), F.sum("w"), F.max("n")).first()
+    flat = [v / total for v in sums.toArray().tolist()]
+    return [flat[i : i + width] for i in range(0, len(flat), width)]
+
+
 def encoded_names(scored: DataFrame) -> list[str]:
     """Names of each slot of the ``features`` vector from its ML attributes."""
     meta = scored.schema["features"].metadata["ml_attr"]["attrs"]

@@ -11,16 +11,19 @@ from __future__ import annotations
 import hashlib
 import os
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..artifacts import Artifacts
+from ..artifacts import Artifacts, snapshot
 from ..functions import scoring as S
 from ..operators import importance as IM
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import sampling as SM
+from ..operators import trees as TR
 from ..operators.features import FEATURE_ORDER, FEATURES_CATEGORICAL, FEATURES_NUMERIC
 from ..session import materialize, scratch_path
 from ..sources import sinks as SK
@@ -220,24 +223,33 @@ def _head_eval(model, df: DataFrame) -> DataFrame:
 
 
 def _head_candidates(spark, sf_dir):
+    """[(index, regParam, maxIter, validation accuracy, model)], the selected one, and the three sides of the data.
+
+    The candidates are fitted once per version of ``embeddings`` and loaded afterwards.
+    """
     r = _head_splits(spark, sf_dir)
     train, val, test = (r.where(F.col("split") == s) for s in ("train", "val", "test"))
-    results = []
-    for i, (reg, it) in enumerate(HEAD_GRID):
-        m = ML.softmax_head(reg, it).fit(train)
-        acc = m.evaluate(val).accuracy
-        results.append((i, reg, it, acc, m))
-    best = None
-    for c in results:  # strict '>' keeps the first candidate on ties (ML14)
-        if best is None or c[3] > best[3]:
-            best = c
-    return results, best, test
+
+    def build(folder: str) -> None:
+        rows = []
+        for i, (reg, it) in enumerate(HEAD_GRID):
+            m = ML.softmax_head(reg, it).fit(train)
+            m.write().save(os.path.join(folder, str(i)))
+            rows.append((i, float(reg), it, float(m.evaluate(val).accuracy)))
+        spark.createDataFrame(rows, "i int, reg double, it int, accuracy double").coalesce(1).write.parquet(
+            os.path.join(folder, "candidates"))
+
+    folder = Artifacts(spark).get("softmax-head", snapshot(spark, sf_dir, ["embeddings"]), build, grid=HEAD_GRID, seed=PO.SPLIT_SEED)
+    found = spark.read.parquet(os.path.join(folder, "candidates")).orderBy("i").collect()
+    results = [(*r, LogisticRegressionModel.load(os.path.join(folder, str(r.i)))) for r in found]
+    best = max(results, key=lambda c: (c[3], -c[0]))  # the first of equals (ML14)
+    return results, best, (train, val, test)
 
 
 @query("softmax_head")
 def q_softmax_head(spark, sf_dir):
     """ML13-15 + AGG23: candidates, validation accuracy, selected head on test."""
-    results, best, test = _head_candidates(spark, sf_dir)
+    results, best, (_, _, test) = _head_candidates(spark, sf_dir)
     out = _head_eval(best[4], test)
     ll = out.select((F.col("label") == F.col("prediction").cast("int")).cast("double").alias("ok"),
                     (-F.log(F.greatest(F.element_at("_pr", F.col("label") + 1), F.lit(1e-15)))).alias("ll"))
@@ -252,7 +264,151 @@ def q_softmax_head(spark, sf_dir):
 @query("quality_gate")
 def q_quality_gate(spark, sf_dir):
     """AGG25: best validation accuracy against the 0.80 gate."""
-    results, best, _ = _head_candidates(spark, sf_dir)
+    _, best, _ = _head_candidates(spark, sf_dir)
     verdict = "pass" if best[3] >= QUALITY_GATE else "fail"
     return spark.createDataFrame([(round(float(best[3]), 6), QUALITY_GATE, verdict)],
                                  "best_val_accuracy double, gate double, verdict string")
+
+
+def _head_confusion(spark, sf_dir) -> DataFrame:
+    """ML15: the selected head's confusion on the test side, over the whole class grid."""
+    _, best, (_, _, test) = _head_candidates(spark, sf_dir)
+    pairs = best[4].transform(test).select(F.col("label").alias("true_class"), F.col("prediction").cast("int").alias("pred_class"))
+    classes = Tables(spark, sf_dir).embeddings.where(F.col("label").isNotNull()).select(F.col("label").alias("class_id")).distinct()
+    return M.complete_confusion(pairs, classes)
+
+
+@query("head_confusion")
+def q_head_confusion(spark, sf_dir):
+    return _head_confusion(spark, sf_dir)
+
+
+@query("head_per_class")
+def q_head_per_class(spark, sf_dir):
+    return M.per_class_from_confusion(_head_confusion(spark, sf_dir))
+
+
+@query("head_top_confusions")
+def q_head_top_confusions(spark, sf_dir):
+    return M.top_pairs(_head_confusion(spark, sf_dir), 10)
+
+
+SQL_HEAD_SPLIT = f"""
+side AS (SELECT vec_id, label, CASE WHEN f <= 0.2 THEN 'test' WHEN f <= 0.4 THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY
+      ('0x' || substr(md5('{PO.SPLIT_SEED}:' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT, vec_id)
+    / count(*) OVER (PARTITION BY label) AS f FROM embeddings))"""
+
+
+@query("head_support", "WITH " + SQL_HEAD_SPLIT + """
+SELECT label AS class_id, count(*) AS support, count(*) AS confusion_row, 0.0::DOUBLE AS unexplained FROM side
+WHERE split = 'test' GROUP BY label""")
+def q_head_support(spark, sf_dir):
+    """The head's evaluation against the data: a class's support, its confusion row's sum, and what recall leaves unexplained."""
+    c = materialize(_head_confusion(spark, sf_dir), "head-confusion")
+    rows = c.groupBy(F.col("true_class").alias("class_id")).agg(
+        F.sum("n").alias("confusion_row"), F.sum(F.when(F.col("true_class") == F.col("pred_class"), F.col("n"))).alias("hits"))
+    return M.per_class_from_confusion(c).join(rows, "class_id").select(
+        "class_id", "support", "confusion_row", F.round(F.col("hits") / F.col("support") - F.col("recall"), 5).alias("unexplained"))
+
+
+# ------------------------------------------------------------ certificates ---
+#: Largest component that the gradient may have at a fitted optimum; a head without penalty on separable classes has no
+#: finite one and stops at the solver's tolerance, so its bound is wider.
+GRADIENT_BOUND, UNPENALISED_BOUND = 1e-5, 5e-3
+
+
+@query("logreg_certificate", "WITH " + PO.SQL_SPLIT + """
+SELECT count(*) AS n_rows, round(count(*)::DOUBLE, 3) AS weight, 0.0::DOUBLE AS largest_gradient, true AS bound_met
+FROM split WHERE split = 'train'""")
+def q_logreg_certificate(spark, sf_dir):
+    """ML2: the weighted, regularised gradient at the fitted coefficients; the objective is convex, so near zero is near the optimum."""
+    train, _ = RK.prepared(spark, sf_dir)
+    pipeline = RK.risk_model(spark, sf_dir, "logistic", tuned=False).pipeline
+    fitted = pipeline.stages[-1]
+    out = pipeline.transform(train).withColumn("r", vector_to_array("probability")[1] - F.col("label"))
+    reg = fitted.getRegParam()
+    data = ML.gradient(out, [F.col("r")], "w")[0]
+    largest = max(abs(g + reg * b) for g, b in zip(data, [*fitted.coefficients.toArray().tolist(), 0.0]))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("w"), 3).alias("weight")).select(
+        "n_rows", "weight", F.lit(round(largest, 3)).alias("largest_gradient"), F.lit(largest <= GRADIENT_BOUND).alias("bound_met"))
+
+
+@query("softmax_certificate", "WITH " + SQL_HEAD_SPLIT + """
+SELECT c::INTEGER AS candidate, (SELECT count(*) FROM side WHERE split = 'train') AS n_rows, true AS bound_met
+FROM range(0, 3) t(c)""")
+def q_softmax_certificate(spark, sf_dir):
+    """ML13: the same for every candidate head, over all its classes.
+
+    See ``UNPENALISED_BOUND`` for the candidate without a penalty.
+    """
+    results, _, (train, _, _) = _head_candidates(spark, sf_dir)
+    n, rows = train.count(), []
+    for i, reg, _, _, m in results:
+        out = m.transform(train).withColumn("_pr", vector_to_array("probability"))
+        residuals = [F.col("_pr")[k] - (F.col("label") == k).cast("double") for k in range(m.numClasses)]
+        b = m.coefficientMatrix.toArray()
+        largest = max(abs(g + reg * (b[k][j] if j < b.shape[1] else 0.0))
+                      for k, part in enumerate(ML.gradient(out, residuals)) for j, g in enumerate(part))
+        rows.append((i, n, largest <= (GRADIENT_BOUND if reg else UNPENALISED_BOUND)))
+    return spark.createDataFrame(rows, "candidate int, n_rows long, bound_met boolean")
+
+
+@query("forest_certificate", "WITH " + PO.SQL_SPLIT + """
+SELECT count(*) AS n_rows, 0::BIGINT AS n_differences, 0.0::DOUBLE AS importance_difference FROM split WHERE split = 'test'""")
+def q_forest_certificate(spark, sf_dir):
+    """ML3/ML6: the saved forest as a node table, scored by joins and with importances from its gains, against the model."""
+    _, test = RK.prepared(spark, sf_dir)
+    model = RK.risk_model(spark, sf_dir, "forest", tuned=False)
+    nodes = materialize(TR.forest_nodes(spark, os.path.join(model.folder, "pipeline")), "forest-nodes")
+    out = ML.positive_probability(model.pipeline.transform(test), "q")
+    table = TR.forest_probability(out, nodes, RK.RF_DEPTH, "order_id")
+    own = dict(TR.forest_importances(nodes).collect())  # one row per feature
+    theirs = model.pipeline.stages[-1].featureImportances.toArray().tolist()
+    largest = max(abs(v - (own.get(i) or 0.0)) for i, v in enumerate(theirs))
+    return out.select("order_id", "q").join(table, "order_id", "left").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.coalesce(F.abs(F.col("p") - F.col("q")) > 1e-9, F.lit(True))).alias("n_differences"),
+        F.lit(round(largest, 6)).alias("importance_difference"))
+
+
+# -------------------------------------------------------------- grid search ---
+#: The registered grid: smaller than the reference's six points of 100 and 200 trees, same folds and choice rule.
+SMALL_GRID = {"numTrees": [5, 10], "maxDepth": [3, 5]}
+
+
+def rf_grid_search(spark, sf_dir, grid=None):
+    """ML4: 5-fold grid search (AUC) with preparation refitted in every fold, and the best point refitted on all rows."""
+    grid = grid or RF_GRID
+    train, test = RK.prepared(spark, sf_dir)
+
+    def build(folder: str) -> None:
+        cvm = ML.cross_validate(ML.PreparedEstimator(ML.forest("label"), FEATURES_NUMERIC, FEATURES_CATEGORICAL), train, grid, "label")
+        cvm.bestModel.write().save(os.path.join(folder, "pipeline"))
+        rows = []
+        for i, (pm, metric) in enumerate(zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)):
+            d = {p.name: v for p, v in pm.items()}
+            rows.append((i, int(d["numTrees"]), int(d["maxDepth"]), float(metric)))
+        spark.createDataFrame(rows, "point int, num_trees int, max_depth int, cv_auc double").coalesce(1).write.parquet(
+            os.path.join(folder, "points"))
+
+    folder = Artifacts(spark).get("forest-grid", RK.base_snapshot(spark, sf_dir), build, grid=grid, seed=PO.FOLD_SEED)
+    points = spark.read.parquet(os.path.join(folder, "points"))
+    best = points.agg(F.min_by("point", F.struct(-F.col("cv_auc"), "point"))).first()[0]
+    auc = M.roc_auc(_scores(RK.RiskModel(PipelineModel.load(os.path.join(folder, "pipeline")), None, folder), test)).first()["roc_auc"]
+    return points.select("point", "num_trees", "max_depth", F.round("cv_auc", 6).alias("cv_auc"), (F.col("point") == best).alias("best"),
+                         F.when(F.col("point") == best, F.lit(auc)).alias("test_auc"))
+
+
+@query("rf_grid")
+def q_rf_grid(spark, sf_dir):
+    return rf_grid_search(spark, sf_dir, SMALL_GRID)
+
+
+@query("rf_grid_choice", "SELECT 4::BIGINT AS n_points, 1::BIGINT AS n_best, 0::BIGINT AS n_better, 0::BIGINT AS n_equal_before")
+def q_rf_grid_choice(spark, sf_dir):
+    """The choice rule over the grid's results: one best point, none better, none as good before it."""
+    g = rf_grid_search(spark, sf_dir, SMALL_GRID)
+    auc, point = g.where("best").select("cv_auc", "point").first()
+    return g.agg(F.count(F.lit(1)).alias("n_points"), F.count_if("best").alias("n_best"), F.count_if(F.col("cv_auc") > auc).alias("n_better"),
+                 F.count_if((F.col("cv_auc") == auc) & (F.col("point") < point)).alias("n_equal_before"))
