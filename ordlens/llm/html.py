@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,6 +117,7 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
     """
     root = Node("#root", "#root", False, False)
     stack, blocks, held = [root], [], []
+    open_tags: Counter[str] = Counter()  # of the stack without its root
 
     def flush():
         text = " ".join(entities.unescape("".join(held)).split())
@@ -123,6 +125,14 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
         if text:
             blocks.append((stack[-1], text))
 
+    def close(tag: str) -> None:
+        """Closes the innermost open ``tag`` and all inside it."""
+        while True:
+            last = stack.pop().tag
+            open_tags[last] -= 1
+            if last == tag:
+                return
+
     for kind, tag, raw in tokens(source):
         if kind == "text":
             held.append(raw)
@@ -131,24 +141,24 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
                 held.append(" ")
         elif kind == "start":
             flush()
-            if tag in P_ENDS and any(x.tag == "p" for x in stack):
-                while stack[-1].tag != "p":
-                    stack.pop()
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SELF_ENDS.get(tag, ()):
-                    del stack[i:]
-                elif stack[i].tag in SCOPES:
-                    break
+            if tag in P_ENDS and open_tags["p"]:
+                close("p")
+            ends = SELF_ENDS.get(tag, ())
+            if any(open_tags[t] for t in ends):
+                for x in reversed(stack[1:]):
+                    if x.tag in ends:
+                        close(x.tag)
+                        break
+                    if x.tag in SCOPES:
+                        break
             node = _open(tag, raw, stack[-1])
             stack[-1].children.append(node)
             if tag not in VOID and not raw.endswith("/>"):
                 stack.append(node)
-        elif any(x.tag == tag for x in stack[1:]):
+                open_tags[tag] += 1
+        elif open_tags[tag]:
             flush()
-            while stack[-1].tag != tag:
-                stack.pop()
-            stack.pop()
+            close(tag)
         else:
             flush()
     flush()
@@ -156,41 +166,84 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def skeleton(root: Node) -> list:
-    """[label, children] of the tree, with runs of like siblings merged; numbers every node's slot in pre-order."""
-    count = 0
-
-    def fold(nodes: list[Node]) -> list:
-        nonlocal count
-        out, last = [], None
-        groups: list[list[Node]] = []
-        for n in nodes:
-            if n.label != last:
-                groups.append([])
-                last = n.label
-            groups[-1].append(n)
-        for g in groups:
-            for n in g:
-                n.slot = count
-            count += 1
-            out.append([g[0].label, fold([c for n in g for c in n.children])])
-        return out
-
-    return fold([root])[0]
+    """[label, children] of the tree, with runs of like siblings merged; numbers every node's slot in pre-order.
+
+    Like all that walks trees here it keeps its own stack: a page may nest to any depth.
+    """
+    top: list = [None, []]
+    count, todo = 0, [([root], top)]
+    while todo:
+        group, up = todo.pop()
+        for n in group:
+            n.slot = count
+        count += 1
+        tree = [group[0].label, []]
+        up[1].append(tree)
+        runs: list[list[Node]] = []
+        for n in (c for x in group for c in x.children):
+            if not runs or runs[-1][0].label != n.label:
+                runs.append([])
+            runs[-1].append(n)
+        todo += [(r, tree) for r in reversed(runs)]
+    return top[1][0]
+
+
+def flat(tree: list) -> str:
+    """A tree as the depths and labels of its nodes in pre-order."""
+    depths, labels, todo = [], [], [(tree, 0)]
+    while todo:
+        (label, children), depth = todo.pop()
+        depths.append(depth)
+        labels.append(label)
+        todo += [(c, depth + 1) for c in reversed(children)]
+    return json.dumps([depths, labels], separators=(",", ":"))
+
+
+def unflat(text: str) -> list:
+    path: list = []
+    for depth, label in zip(*json.loads(text)):
+        node = [label, []]
+        del path[depth:]
+        if path:
+            path[-1][1].append(node)
+        path.append(node)
+    return path[0]
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     """Simple tree matching: the largest number of node pairs that keep labels, ancestors and order, and those pairs."""
     if a[0] != b[0]:
         return 0, []
-    x, y = a[1], b[1]
-    if [c[0] for c in x] == [c[0] for c in y]:  # the usual case: the children pair off one by one
-        pairs = [match(c, d) for c, d in zip(x, y)]
-        return 1 + sum(w for w, _ in pairs), [(a, b), *(p for _, ps in pairs for p in ps)]
-    w = [[match(c, d) for d in y] for c in x]
+    weight: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[list, list]]] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        same = [c[0] for c in x[1]] == [c[0] for c in y[1]]  # the usual case: the children pair off one by one
+        pairs = list(zip(x[1], y[1])) if same else [(c, d) for c in x[1] for d in y[1] if c[0] == d[0]]
+        if not ready:
+            todo.append((x, y, True))
+            todo += [(c, d, False) for c, d in pairs]
+            continue
+        if not same:
+            pairs = _alignment(x[1], y[1], weight)
+        weight[id(x), id(y)] = 1 + sum(weight[id(c), id(d)] for c, d in pairs)
+        chosen[id(x), id(y)] = pairs
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        todo += reversed(chosen[id(x), id(y)])
+    return weight[id(a), id(b)], out
+
+
+def _alignment(x: list, y: list, weight: dict[tuple[int, int], int]) -> list[tuple[list, list]]:
+    """The pairs of children of the largest total weight that keep their order."""
+    w = [[weight.get((id(c), id(d)), 0) if c[0] == d[0] else 0 for d in y] for c in x]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x)):
         for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j][0])
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
     pairs, i, j = [], len(x), len(y)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -198,17 +251,18 @@ def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
         elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
-            pairs = w[i - 1][j - 1][1] + pairs
             i, j = i - 1, j - 1
-    return 1 + best[-1][-1], [(a, b), *pairs]
+            pairs.append((x[i], y[j]))
+    return pairs[::-1]
 
 
 def merge(wrapper: list, tree: list) -> None:
     """Adds to ``wrapper`` the nodes of ``tree`` that match none of its own, after the sibling before them."""
     _, pairs = match(wrapper, tree)
     home = {id(b): a for a, b in pairs}
-
-    def add(a: list, b: list) -> None:
+    todo = [(wrapper, tree)] if id(tree) in home else []
+    while todo:
+        a, b = todo.pop()
         at = 0
         for child in b[1]:
             twin = home.get(id(child))
@@ -217,32 +271,22 @@ def merge(wrapper: list, tree: list) -> None:
                 at += 1
             else:
                 at = next(i for i, c in enumerate(a[1]) if c is twin) + 1
-                add(twin, child)
+                todo.append((twin, child))
 
-    if id(tree) in home:
-        add(wrapper, tree)
+
+def _preorder(tree: list) -> Iterator[list]:
+    todo = [tree]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += reversed(n[1])
 
 
 def slots_of(wrapper: list, tree: list) -> list[int]:
     """For each node of ``tree`` in pre-order the pre-order number of its wrapper node (-1: none)."""
-    number: dict[int, int] = {}
-
-    def count(n: list) -> None:
-        number[id(n)] = len(number)
-        for c in n[1]:
-            count(c)
-
-    count(wrapper)
+    number = {id(n): i for i, n in enumerate(_preorder(wrapper))}
     home = {id(b): number[id(a)] for a, b in match(wrapper, tree)[1]}
-    out: list[int] = []
-
-    def walk(n: list) -> None:
-        out.append(home.get(id(n), -1))
-        for c in n[1]:
-            walk(c)
-
-    walk(tree)
-    return out
+    return [home.get(id(n), -1) for n in _preorder(tree)]
 
 
 def _parse_pages(it):
@@ -250,7 +294,7 @@ def _parse_pages(it):
         rows = []
         for page, url, host, source in zip(*(rb.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
             root, blocks = parse(source or "")
-            tree = json.dumps(skeleton(root), separators=(",", ":"))
+            tree = flat(skeleton(root))
             main = [i for i, (n, _) in enumerate(blocks) if n.article and not n.chrome] or [
                 i for i, (n, _) in enumerate(blocks) if not n.chrome]
             texts = [blocks[i][1] for i in main]
@@ -272,15 +316,15 @@ def _merge_group(it):
         for host, part, tree in zip(*(rb.column(c).to_pylist() for c in ("host", "part", "tree"))):
             if (host, part) != key:
                 if wrapper is not None:
-                    out.append((*key, json.dumps(wrapper, separators=(",", ":"))))
-                key, wrapper = (host, part), json.loads(tree)
+                    out.append((*key, flat(wrapper)))
+                key, wrapper = (host, part), unflat(tree)
             else:
-                merge(wrapper, json.loads(tree))
+                merge(wrapper, unflat(tree))
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(
             (pa.string(), pa.int32(), pa.string()))], ["host", "part", "tree"])
     if wrapper is not None:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
-            (*key, json.dumps(wrapper, separators=(",", ":"))), (pa.string(), pa.int32(), pa.string()))],
+            (*key, flat(wrapper)), (pa.string(), pa.int32(), pa.string()))],
             ["host", "part", "tree"])
 
 
@@ -301,7 +345,7 @@ def wrappers(layouts: DataFrame) -> DataFrame:
 
 def _map_slots(it):
     for rb in it:
-        rows = [(h, x, slots_of(json.loads(w), json.loads(t))) for h, x, t, w in zip(
+        rows = [(h, x, slots_of(unflat(w), unflat(t))) for h, x, t, w in zip(
             *(rb.column(c).to_pylist() for c in ("host", "layout", "tree", "wrapper")))]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),

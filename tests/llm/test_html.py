@@ -67,3 +67,17 @@ def test_copies_with_other_chrome_count_once(spark):
     by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(by[i] == "Same Story one Story two" for i in range(20))
     assert all(by[100 + i] == f"Head {i} Own {i}" for i in range(10))
+
+
+def test_very_deep_pages_return(spark):
+    deep = "<div>" * 100_000
+    pages = [(1, "http://d.com/1", page(f"<article><p>One</p>{deep}<p>low</p></article>"), "x", 1),
+             (2, "http://d.com/2", page(f"<article><p>Two</p>{'<section>' * 50_000}{'<ul><li>' * 20_000}low"), "x", 1),
+             (3, "http://d.com/3", page("<article><p>Three</p></article>"), "x", 1)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {1: "One low", 2: "Two low", 3: "Three"}
+
+
+def test_flat_trees_come_back():
+    tree = ["r", [["x", [["p", []], ["q", [["z", []]]]]], ["y", []]]]
+    assert html.unflat(html.flat(tree)) == tree
