@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordlens.llm.minhash import batches
-from ordlens.llm.tokens import encoder
+from ordlens.llm.tokens import encoder, release_memory
 from ordlens.session import materialize
 
 #: Pieces of one length are ranked in cells of about this many rows.
@@ -125,6 +125,9 @@ def _cut(path: str, tokens: int, end_id: int):
             rows = []
             for doc, a, b in zip(rb.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 n = b - a + 1
+                if n <= tokens:  # whole, as nearly all are
+                    rows.append((doc, 0, 0, n, zlib.crc32(end, zlib.crc32(raw[4 * a : 4 * b]))))
+                    continue
                 for piece, start in enumerate(range(0, n, tokens)):
                     to = min(start + tokens, n)
                     crc = zlib.crc32(raw[4 * (a + start) : 4 * (a + min(to, n - 1))])
@@ -132,7 +135,7 @@ def _cut(path: str, tokens: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        release_memory()
 
     return run
 
@@ -145,6 +148,8 @@ def pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int = 1) -> D
 def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    All capacities are honoured; with the default ones document slots and
+    attention cost follow from the token limit and never bind, so tokens decide.
     Only documents longer than a sequence are cut. Null and empty texts are
     the one end id. Null ids and repeated rows are packed like any other row,
     other columns are ignored, an empty table gives an empty result.

@@ -8,15 +8,17 @@ Latin blocks, or with a special token, go through the whole tokenizer.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept per Python worker; beyond that the cache starts anew.
-CACHE = 400_000
+CACHE = 300_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -37,8 +39,36 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+class Pool:
+    """Keys with a run of ids each: a key's place, and the runs joined in one array."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, keys: list[str], ids, counts: np.ndarray) -> None:
+        at = len(self.place)
+        while at + len(keys) > len(self.start):
+            self.start, self.count = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.count[at : at + len(keys)] = counts
+        self.start[at : at + len(keys)] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(keys, range(at, at + len(keys))))
+
+    def at(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the keys at these places, joined."""
+        return self.ids[ragged(self.start[at], self.count[at])]
+
+
 class WordEncoder:
-    """ids of words, with a bounded cache: a pool of ids, and each word's place in it."""
+    """ids of words, with a bounded cache."""
 
     def __init__(self, path: str, cache: int | None = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,9 +81,10 @@ class WordEncoder:
         self.limit = cache
         split = self.whole_split(path)
         self.find = regex.compile(split).findall
-        self.plain = re.compile("[\x21-\x7e\xa1-ſ]*").fullmatch
-        self.special = re.compile("|".join(
-            re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.plain = re.compile("[\x21-\x7e\xa1-ſ]+").fullmatch
+        specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
+        self.mark = specials[0][0] if len({t[0] for t in specials}) == 1 else ""  # only words with it may hold a special token
         self.tokenize = self.whole.model.tokenize
         self.clear()
 
@@ -67,74 +98,58 @@ class WordEncoder:
         return next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
 
     def clear(self) -> None:
-        self.word: dict[str, int] = {}
-        self.unit: dict[str, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.words, self.units = Pool(), Pool()
 
     def _learn(self, words: list[str]) -> None:
-        plain, special = self.plain, self.special
-        easy = [w for w in words if w and plain(w) and not special(w)]
-        # one pass of the file's normaliser over all of them; it neither makes nor drops a space between them
-        cut = [self.find(n) for n in self.whole.normalizer.normalize_str(" ".join(easy)).split(" ")] if easy else []
-        unit, tokenize = self.unit, self.tokenize
-        for u in {u for units in cut for u in units}.difference(unit):
-            unit[u] = [t.id for t in tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        known = dict(zip(easy, cut))
-        ids: list[int] = []
-        counts = []
-        for w in words:
-            before = len(ids)
-            if w in known:
-                for u in known[w]:
-                    ids += unit[u]
-            elif w:
-                ids += self.whole.encode(w, add_special_tokens=False).ids
-            counts.append(len(ids) - before)
-        self._store(words, ids, np.array(counts, np.int64))
-
-    def _store(self, words: list[str], ids, c: np.ndarray) -> None:
-        at = len(self.word)
-        while at + len(words) > len(self.start):
-            self.start, self.count = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.count))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.count[at : at + len(c)] = c
-        self.start[at : at + len(c)] = self.used + np.cumsum(c) - c
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.word.update(zip(words, range(at, at + len(words))))
-
-    def _renew(self, known: list[str]) -> None:
-        """Start a new cache that holds ``known``: words that came back, so probably common ones."""
-        at = np.fromiter(map(self.word.__getitem__, known), np.int64, len(known))
-        count = self.count[at]
-        ids = self.gather(self.start[at], count)
-        self.clear()
-        self._store(known, ids, count)
+        plain, special, mark = self.plain, self.special, self.mark
+        easy = [w for w in words if plain(w) and not (mark in w and special(w))]
+        if easy:
+            # one pass of the file's normaliser over all of them; it neither makes nor drops a space between them
+            cut = list(map(self.find, self.whole.normalizer.normalize_str(" ".join(easy)).split(" ")))
+            flat = list(chain.from_iterable(cut))
+            new = list(set(flat).difference(self.units.place))
+            tokenize = self.tokenize
+            ids = [[t.id for t in tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(_BYTE_CHARS))] for u in new]
+            self.units.add(new, list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+            at = self.units.at(flat)
+            ends = np.cumsum(np.concatenate(([0], self.units.count[at])))[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+            self.words.add(easy, self.units.gather(at), np.diff(ends, prepend=0))
+        if len(easy) < len(words):
+            rest = list(set(words).difference(easy))
+            ids = [self.whole.encode(w, add_special_tokens=False).ids if w else [] for w in rest]
+            self.words.add(rest, list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def places(self, words: list[str]) -> np.ndarray:
         """The cache place of each of the distinct ``words``, encoding those not seen yet."""
-        missing = [w for w in words if w not in self.word]
-        if self.limit and len(self.word) + len(missing) > self.limit:
-            self._renew([w for w in words if w in self.word])
+        place = self.words.place
+        missing = [w for w in words if w not in place]
+        if self.limit and len(place) + len(missing) > self.limit:
+            # a new cache of those that came back, so are probably common
+            known = [w for w in words if w in place]
+            at, old = self.words.at(known), self.words
+            self.words = Pool()
+            self.words.add(known, old.gather(at), old.count[at])
         if missing:
             self._learn(missing)
-        if self.limit and len(self.unit) > self.limit // 2:
-            self.unit.clear()
-        return np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
-
-    def gather(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The ids at the given stretches of the pool, joined."""
-        return self.pool[ragged(start, count)]
+        if self.limit and len(self.units.place) > self.limit // 2:
+            self.units = Pool()
+        return self.words.at(words)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none), and the offset at which each text's begin (one more at the end)."""
         offsets, codes, words = split_words(texts)
-        at = self.places(words)
-        start, count = self.start[at][codes], self.count[at][codes]
-        bounds = np.concatenate(([0], np.cumsum(count)))[offsets]
-        return self.gather(start, count), bounds
+        at = self.places(words)[codes]
+        bounds = np.concatenate(([0], np.cumsum(self.words.count[at])))[offsets]
+        return self.words.gather(at), bounds
+
+
+def release_memory() -> None:
+    """Hand what a finished task has freed back to the system: a worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to hand back by hand
+        pass
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
