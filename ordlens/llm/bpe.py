@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import lzma
+import os
 import zlib
 from collections.abc import Callable
 
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlens.llm.minhash import batches
-from ordlens.llm.tokens import WordEncoder, ragged, split_words
-from ordlens.session import materialize
+from ordlens.llm.tokens import WordEncoder, ragged, release_memory, split_words
+from ordlens.session import materialize, scratch_path
 
 #: Characters of text in a block (a longer text is a block of its own).
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 
 _LZMA = {step: [{"id": lzma.FILTER_LZMA2, "preset": 0, "lp": step, "lc": 0, "pb": step}] for step in (1, 2)}
 
@@ -92,6 +93,7 @@ def _split(buckets: int):
                     pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(),
                     pa.binary(), pa.binary()))],
                 ["block", "bucket", "rows", "row_null", "counts", "repeated", "places", "words"])
+            release_memory()
 
     return run
 
@@ -106,12 +108,13 @@ def _encode(path: str):
                     t.clear()
                     bucket_now = bucket
                 at = t.places(zstandard.decompress(words).decode().split("\n"))
-                count = t.count[at]
-                ids = t.gather(t.start[at], count)
+                count, ids = t.words.count[at], t.words.gather(at)
                 out.append((block, places, pack(count), pack_ids(ids), pack(_steps(np.unique(ids).astype(np.int64)))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3, 4))],
                 ["block", "places", "counts", "ids", "used"])
+        del t
+        release_memory()
 
     return run
 
@@ -134,10 +137,22 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, text): per block one row of positions and one row of distinct words per bucket."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _split(buckets), BLOCKS), "bpe-blocks")
+    """Blocks of ``docs`` (doc_id, text): per block one row of positions and one row of distinct words per bucket.
+
+    The table is bucketed by block, so positions are read where they lie and
+    never shuffled. It is a plain folder of the checkpoint directory; the
+    catalogue's entry only serves to write and read the buckets and goes again.
+    """
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(buckets), BLOCKS)
+    path = scratch_path(spark, "bpe-blocks")
+    name = f"bpe_blocks_{os.path.basename(path).rsplit('-', 1)[1]}"
+    rows.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    blocks = spark.table(name)
+    blocks.schema  # resolved now: the folder and its buckets  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return blocks
 
 
 def word_table(blocks: DataFrame, path: str) -> DataFrame:
@@ -181,6 +196,8 @@ def assemble(blocks: DataFrame, entries: DataFrame, pieces: DataFrame, reader: C
             null = np.asarray(null, bool)
             out.append(reader(pd.array(np.where(null, 0, rows), "Int64"), null, np.asarray(words_of), at, count, start, ids,
                               piece_of))
+        del place, n, ids, count, start, lists
+        release_memory()
         return pd.concat(out)
 
     docs = blocks.where("bucket = -1").select("block", "rows", "row_null", "counts", "repeated", "places")
