@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ordlens.llm.graph import components
 from ordlens.llm.shingles import mix, shingle_sets
+from ordlens.llm.tokens import release_memory
 from ordlens.session import materialize
 
 ROWS = 4
@@ -64,6 +65,19 @@ def batches(it: Iterator[pa.RecordBatch], column: str, size: int = BATCH) -> Ite
             at = to
 
 
+def set_digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set (0 for an empty one), whatever the order of its elements."""
+    n = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(n)
+    a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        cuts = np.concatenate(([0], np.cumsum(n[some])[:-1]))
+        a[some] = mix(np.add.reduceat(flat, cuts))
+        b[some] = mix(np.add.reduceat(mix(flat ^ np.uint64(_SEED)), cuts))
+    return a.view(np.int64), b.view(np.int64)
+
+
 def _sign(k: int, bands: int):
     words = bands * ROWS * BITS // 64
 
@@ -77,14 +91,12 @@ def _sign(k: int, bands: int):
             n = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(n)
             minima = np.zeros((len(sets), bands * ROWS), np.uint64)
-            set_a, set_b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            set_a, set_b = set_digests(sets)
             if len(some):
                 flat = np.concatenate([sets[i] for i in some])
                 cuts = np.concatenate(([0], np.cumsum(n[some])[:-1]))
                 for j, m in enumerate(mult):
                     minima[some, j] = np.minimum.reduceat(flat * m, cuts)
-                set_a[some] = mix(np.add.reduceat(flat, cuts))
-                set_b[some] = mix(np.add.reduceat(mix(flat ^ np.uint64(_SEED)), cuts))
             key = mix((minima.reshape(-1, bands, ROWS) * weight).sum(2, dtype=np.uint64))
             low = (minima >> np.uint64(20)) & np.uint64((1 << BITS) - 1)
             sig = (low.reshape(len(sets), words, 64 // BITS) << place).sum(2, dtype=np.uint64)
@@ -94,9 +106,9 @@ def _sign(k: int, bands: int):
                     pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.view(np.int64).ravel()))
 
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(set_a.view(np.int64)),
-                 pa.array(set_b.view(np.int64)), lists(key), lists(sig)],
+                [rb.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(set_a), pa.array(set_b), lists(key), lists(sig)],
                 ["doc_id", "n", "set_a", "set_b", "bands", "sig"])
+        release_memory()
 
     return run
 
@@ -146,6 +158,7 @@ def _confirm(k: int, num: int, den: int):
                             break
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+        release_memory()
 
     return run
 
@@ -175,8 +188,11 @@ def _sets_of(k: int):
     def run(it):
         for rb in batches(it, "text"):
             sets = shingle_sets(rb.column("text").to_pylist(), k)
+            a, b = set_digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                [rb.column("doc_id"), pa.array(a), pa.array(b), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "set_a", "set_b", "shingles"])
+        release_memory()
 
     return run
 
@@ -237,6 +253,7 @@ def _cross(bands: int, floor: float, num: int, den: int):
                 rows.append((doc, label, n, role, sig, shingles))
         if rows:
             yield table(_links(rows, bands, floor, num, den))
+        release_memory()
 
     return run
 
@@ -256,9 +273,10 @@ def cross_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, band
     hub = open_.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"))
     family = components(open_.join(hub, ["band", "bucket"]).where("hub <> doc_id").select(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()).toDF("doc_id", "family")
+    # a doc_id with several texts takes part with each of their sets
     m = family.join(open_.select("doc_id", "label").distinct(), "doc_id").join(
-        reps.select("doc_id", "n", "sig").groupBy("doc_id").agg(F.max(F.struct("n", "sig")).alias("r")), "doc_id").select(
-        "family", "doc_id", "label", "r.n", "r.sig")
+        reps.select("doc_id", "set_a", "set_b", "n", "sig").dropDuplicates(["doc_id", "set_a", "set_b"]), "doc_id").select(
+        "family", "doc_id", "set_a", "set_b", "label", "n", "sig")
     sizes = m.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK_ROWS, s / BLOCK_SHINGLES)).cast("int")
     per = sizes.groupBy("family").agg(
@@ -278,8 +296,9 @@ def cross_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, band
         F.array(cell(own, own, 3)),
         F.transform(F.filter(minors, lambda i: i < own), lambda i: cell(i, own, 2)),
     )).otherwise(F.transform(minors, lambda i: cell(i, F.col("mb") + own, 2)))
-    sets = docs.join(m.select("doc_id").distinct(), "doc_id").mapInArrow(_sets_of(k), "doc_id long, shingles binary")
-    rows = m.join(sets, "doc_id").select("family", F.explode(cells).alias("cell"), "doc_id", "label", "n", "sig", "shingles")
+    sets = docs.join(m.select("doc_id").distinct(), "doc_id").mapInArrow(
+        _sets_of(k), "doc_id long, set_a long, set_b long, shingles binary").dropDuplicates(["doc_id", "set_a", "set_b"])
+    rows = m.join(sets, ["doc_id", "set_a", "set_b"]).select("family", F.explode(cells).alias("cell"), "doc_id", "label", "n", "sig", "shingles")
     rows = rows.select("family", "cell.i", "cell.j", "cell.role", "doc_id", "label", "n", "sig", "shingles").repartition(
         "family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(_cross(bands, floor, num, den), "a long, b long").distinct()
@@ -305,13 +324,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     same = live.join(classes, ["set_a", "set_b", "n"]).where("doc_id <> rep").select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     same = materialize(same, "mh-same")
-    reps = live.select("doc_id", "n", "bands", "sig").join(
+    reps = live.select("doc_id", "set_a", "set_b", "n", "bands", "sig").join(
         same.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
     # a doc_id with several sets is a member of a class and may also stand for one of its own
     again = materialize(live.groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("sets")).where(
         "sets > 1").select("doc_id"), "mh-again")
     if not again.isEmpty():
-        reps = reps.union(live.join(again, "doc_id", "left_semi").select("doc_id", "n", "bands", "sig")).distinct()
+        reps = reps.union(live.join(again, "doc_id", "left_semi").select("doc_id", "set_a", "set_b", "n", "bands", "sig")).distinct()
     reps = materialize(reps, "mh-reps")
     member = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = member.groupBy("band", "bucket").agg(
