@@ -27,6 +27,7 @@ SHINGLE, SIMILARITY = 5, (8, 10)
 #: Names of the columns that live inside a stage only.
 TOXIC = [f"_stage_p_{name}" for name, _ in CHAIN]
 SCORE = "_stage_quality"
+ROW, DIGEST, NODE = "_stage_id", "_stage_digest", "_stage_node"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +45,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of several rows of one doc_id, one row."""
+    """One document of each near-duplicate group.
+
+    Rows of one doc_id with different texts are documents of their own: all
+    but one of them get a number of their own for the grouping, so that an
+    unrelated text is never dropped with another. Of equal rows of one doc_id
+    and text one stays.
+    """
     ship_package(spark)
-    found = near_duplicates(docs, SHINGLE, *SIMILARITY)
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"),
                         "repeated-ids")
     if again.isEmpty():
-        return kept
-    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        found = near_duplicates(docs, SHINGLE, *SIMILARITY)
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias(DIGEST)
+    several = docs.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias(ROW), digest).distinct()
+    top = docs.agg(F.max("doc_id")).first()[0]
+    several = materialize(several.withColumn(NODE, F.monotonically_increasing_id() + F.lit(top + 1)), "repeated-texts")
+    least = several.groupBy(ROW).agg(F.min(DIGEST).alias("_stage_least"))  # one text keeps the id itself
+    several = several.join(least, ROW).select(ROW, DIGEST, F.when(F.col(DIGEST) == F.col("_stage_least"), F.col(ROW)).otherwise(
+        F.col(NODE)).alias(NODE))
+    single = docs.join(again, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias(NODE))
+    repeated = docs.join(again, "doc_id", "left_semi").select(*docs.columns, digest)
+    repeated = repeated.join(several, (repeated["doc_id"] == several[ROW]) & (repeated[DIGEST] == several[DIGEST])).select(
+        *[repeated[c] for c in docs.columns], several[NODE]).dropDuplicates([NODE])
+    rows = materialize(single.unionByName(repeated), "numbered-documents")
+    found = near_duplicates(rows.select(F.col(NODE).alias("doc_id"), "text"), SHINGLE, *SIMILARITY)
+    return rows.join(found.where("not kept").select(F.col("doc_id").alias(NODE)), NODE, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

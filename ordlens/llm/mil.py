@@ -19,14 +19,14 @@ from pyspark.sql import types as T
 
 from ordlens.llm.minhash import batches
 from ordlens.llm.shingles import word_spans
+from ordlens.llm.tokens import release_memory
 
 #: Words in a passage.
 PASSAGE = 64
 #: Buckets of hashed words.
 HASHED = 24
-#: The fit takes at most so many labelled documents, each of at most so many characters.
+#: The fit takes at most so many labelled documents, of any length.
 MAX_FIT_DOCS = 6000
-MAX_FIT_CHARS = 60_000
 #: Predicted good from this score on.
 THRESHOLD = 0.3
 
@@ -178,7 +178,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, max_chars: int) -> DataFrame:
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
     """At most ``n`` labelled (doc_id, text, label) rows outside the held-out fold, the first by a hash of the id.
 
     Null ids and labels are left out; of several labels of one id the smallest counts.
@@ -186,8 +186,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, max_chars
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
     some = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(F.broadcast(some), "doc_id")  # at most n rows
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(some), "doc_id")  # at most n rows
 
 
 def _bags(it):
@@ -202,7 +202,7 @@ def _bags(it):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> AttentionModel | None:
     """The model fitted on a bounded sample of labelled documents; None without labels."""
-    rows = fit_sample(docs, labels, label, MAX_FIT_DOCS, MAX_FIT_CHARS).mapInArrow(
+    rows = fit_sample(docs, labels, label, MAX_FIT_DOCS).mapInArrow(
         _bags, "doc_id long, label int, x binary").dropDuplicates().orderBy("doc_id", "x").toArrow()
     if not rows.num_rows:
         return None
@@ -217,6 +217,7 @@ def annotate(docs: DataFrame, scorer: Callable[[list], dict[str, np.ndarray]], n
             got = scorer(rb.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*rb.columns, *(pa.array(got[n], pa.float64()) for n in names)],
                                              [*rb.schema.names, *names])
+        release_memory()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 

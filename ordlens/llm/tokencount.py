@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlens.llm.minhash import batches
+from ordlens.llm.tokens import release_memory
 from ordlens.session import materialize
 
 CACHE_SCHEMA = "digest string, n_tokens long, version string"
@@ -139,7 +140,7 @@ def _count(path: str):
         for rb in batches(it, "text", BATCH_CHARS):
             yield pa.RecordBatch.from_arrays(
                 [rb.column("digest"), pa.array(c.counts(rb.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 

@@ -41,9 +41,19 @@ def test_stages_keep_columns_and_edge_rows(spark):
     assert P.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
 
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in ("red", "blue"))
+    rows = [(7, one, "a"), (7, two, "b"), (7, two, "c"), (8, one + " more", "d"), (9, "else " * 9, "e"), (None, one, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((str(r.doc_id), r.text) for r in P.near_dedup(spark, docs, SF).collect())
+    texts = [t for _, t in got]
+    assert texts.count(two) == 1 and len(got) == 4 and ("None", one) in got and ("9", "else " * 9) in got
+    assert sum(i in ("7", "8") and t.startswith(one) for i, t in got) == 1
+
+
 def test_names_of_stages():
     assert [n for n, _ in P.STAGES] == ["toxicity", "quality classifier", "minhash near-dedup", "best-fit packing"]
-    assert sorted(int(k[2 : k.index("_")]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2 : k.index("_")]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
