@@ -225,6 +225,7 @@ def annotate(docs: DataFrame, scorer: Callable[[list], dict[str, np.ndarray]], n
 def with_quality(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """``docs`` with the quality score of each text in column ``name``."""
     model = train(docs, labels)
+    release_memory()
 
     def scorer(texts):
         return {name: np.full(len(texts), 0.5) if model is None else model.score(*passage_features(texts))}

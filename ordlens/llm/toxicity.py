@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ordlens.llm.mil import annotate, held_out
 from ordlens.llm.minhash import batches
 from ordlens.llm.shingles import word_spans
+from ordlens.llm.tokens import release_memory
 
 #: Categories in chain order with the terms that label them weakly; the last is the label itself.
 CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -110,17 +111,21 @@ def _pairs(sets: list[np.ndarray], able: np.ndarray, number: np.ndarray) -> tupl
     return np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
 
 
+def _frequent(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets without what is rare even with others in its slot, which is most of them."""
+    count = np.zeros(_RARE, np.int32)
+    for x in sets:
+        count[x % _RARE] += 1
+    return [x[count[x % _RARE] >= MIN_TEXTS].astype(np.int64) for x in sets]
+
+
 class Sample:
     """The (passage, feature) pairs of a fit's texts; features are numbered in the order of ``names``."""
 
     def __init__(self, sets: list[np.ndarray], text: np.ndarray, clean: np.ndarray):
         """``text``: each passage's text; ``clean``: whether a text is in no category. Rare and common features go."""
         self.text, self.n = text, len(sets)
-        # far fewer arrays of all pairs at once: what is rare even with others in its slot goes first
-        count = np.zeros(_RARE, np.int32)
-        for x in sets:
-            count[x % _RARE] += 1
-        sets = [x[count[x % _RARE] >= MIN_TEXTS].astype(np.int64) for x in sets]
+        sets = _frequent(sets)
         names = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
         sets = [np.searchsorted(names, x).astype(np.int32) for x in sets]
         cuts = np.flatnonzero(np.diff(text, prepend=-1)).tolist()
@@ -301,12 +306,17 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
         else:
             t = term_slots(terms)
             targets[name] = toxic * np.maximum.reduceat([np.isin(t, s).any() for s in sets], np.cumsum(per) - per)
-    return fit_chain(rows.column("doc_id").to_pylist(), sets, targets, np.array(rows.column("weight").to_pylist(), float), per)
+    ids, weight = rows.column("doc_id").to_pylist(), np.array(rows.column("weight").to_pylist(), float)
+    sets = _frequent(sets)  # the driver holds the gathered rows no longer than it must
+    del rows, bags
+    release_memory()
+    return fit_chain(ids, sets, targets, weight, per)
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, names: list[str], chain=CHAIN) -> tuple[DataFrame, float]:
     """``docs`` with the chain's probabilities in columns ``names``, and the cut on the last."""
     model = train(docs, labels, chain)
+    release_memory()
 
     def scorer(texts):
         return dict(zip(names, model.of_texts(texts).T))
