@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ordlens.session import materialize
 
-PIVOTS = 256
+PIVOTS = 64
 #: Rows of each vector length among which pivots are chosen.
 SAMPLE = 4096
 #: Vector lengths that get pivots (the others are searched without, still exactly).
