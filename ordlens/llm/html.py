@@ -6,13 +6,21 @@
    into the host's wrapper; every skeleton node is mapped to a wrapper node.
    Skeletons are merged in rounds of bounded groups, so a host with any number
    of pages or layouts is no single task.
-3. Per wrapper node, texts are counted over the host's pages of distinct main
-   text, so copies of an article between other menus and adverts are one. A text
-   that stands on most of them is constant: template. The others fill varying
-   slots: content.
-4. A page's text is that of its varying slots inside the article (or, without
-   one, outside the containers of menus, adverts, forms and the like), in page
-   order.
+3. Per wrapper node, the host's distinct texts are measured: each counts once,
+   however many pages carry it, by its length outside links, long texts more. The
+   content region is the wrapper's subtree that holds most of this varying prose:
+   from the root down into the child with the larger part of it, as long as that
+   child is a container and not itself a run of text blocks. A subtree with an
+   ``<article>`` wins against others of up to twice its prose; names decide nothing
+   else here, except that containers named as menus, adverts, forms and the like
+   hold no prose.
+4. Texts of the region are counted over the host's pages of distinct main text,
+   so copies of an article between other menus and adverts are one. A text that
+   stands on most of them at one node is constant: template.
+5. A page's text is that of its varying slots inside the region, in page order. A
+   page without the region, and every page of a host with too few distinct texts
+   there, is read by its own tags instead: its article or, without one, what lies
+   outside the containers of menus, adverts, forms and the like.
 """
 
 from __future__ import annotations
@@ -35,6 +43,11 @@ from ordlens.session import materialize
 #: A text is template if it stands on this share of a host's distinct pages, of which there must be so many.
 CONSTANT_SHARE = 0.5
 MIN_PAGES = 8
+#: A child subtree is entered if it holds more than this share of its parent's prose; an article's prose counts so many times.
+REGION_SHARE = 0.5
+ARTICLE_WEIGHT = 2.0
+#: A text of n characters outside links is n * n / (n + SHORT_TEXT) of prose.
+SHORT_TEXT = 80
 #: Skeletons or partial wrappers merged by one group.
 FAN_IN = 32
 
@@ -109,21 +122,24 @@ def _open(tag: str, raw: str, up: Node) -> Node:
     return Node(tag, f"{tag}.{' '.join(sorted(names.lower().split()))}" if names else tag, up.chrome or own, inside)
 
 
-def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of a page, and its blocks (element, text) in page order.
+def parse(source: str) -> tuple[Node, list[tuple[Node, str, int]]]:
+    """The tree of a page, and its blocks (element, text, characters inside links) in page order.
 
     Inline elements and line breaks lie inside their block; character
     references are decoded and white space runs become one space.
     """
     root = Node("#root", "#root", False, False)
     stack, blocks, held = [root], [], []
+    linked, in_link = 0, False
     open_tags: Counter[str] = Counter()  # of the stack without its root
 
     def flush():
+        nonlocal linked
         text = " ".join(entities.unescape("".join(held)).split())
-        held.clear()
         if text:
-            blocks.append((stack[-1], text))
+            blocks.append((stack[-1], text, min(linked, len(text))))
+        held.clear()
+        linked = 0
 
     def close(tag: str) -> None:
         """Closes the innermost open ``tag`` and all inside it."""
@@ -136,7 +152,9 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
     for kind, tag, raw in tokens(source):
         if kind == "text":
             held.append(raw)
+            linked += len(raw) if in_link else 0
         elif tag in INLINE:
+            in_link = kind == "start" if tag == "a" else in_link
             if tag in ("br", "img"):
                 held.append(" ")
         elif kind == "start":
@@ -156,11 +174,11 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag not in VOID and not raw.endswith("/>"):
                 stack.append(node)
                 open_tags[tag] += 1
-        elif open_tags[tag]:
-            flush()
-            close(tag)
         else:
             flush()
+            in_link = False
+            if open_tags[tag]:
+                close(tag)
     flush()
     return root, blocks
 
@@ -289,23 +307,28 @@ def slots_of(wrapper: list, tree: list) -> list[int]:
     return [home.get(id(n), -1) for n in _preorder(tree)]
 
 
+def _own_main(blocks: list[tuple[Node, str, int]]) -> list[bool]:
+    """Which blocks a page's own tags call main: the article's, or else those outside chrome."""
+    inside = [n.article and not n.chrome for n, _, _ in blocks]
+    return inside if any(inside) else [not n.chrome for n, _, _ in blocks]
+
+
 def _parse_pages(it):
     for rb in batches(it, "html"):
         rows = []
         for page, url, host, source in zip(*(rb.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
             root, blocks = parse(source or "")
             tree = flat(skeleton(root))
-            main = [i for i, (n, _) in enumerate(blocks) if n.article and not n.chrome] or [
-                i for i, (n, _) in enumerate(blocks) if not n.chrome]
-            texts = [blocks[i][1] for i in main]
-            rows.append((page, url, host, tree, xxhash.xxh64_intdigest(tree) - (1 << 63), [blocks[i][0].slot for i in main],
-                         [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], texts,
-                         xxhash.xxh64_intdigest("\0".join(texts)) - (1 << 63)))
+            texts = [t for _, t, _ in blocks]
+            prose = [0 if n.chrome else len(t) - linked for n, t, linked in blocks]
+            rows.append((page, url, host, tree, xxhash.xxh64_intdigest(tree) - (1 << 63), [n.slot for n, _, _ in blocks],
+                         [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], texts, prose, _own_main(blocks),
+                         [n.chrome for n, _, _ in blocks], [n.article for n, _, _ in blocks]))
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()),
-                 pa.list_(pa.string()), pa.int64())
+                 pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.list_(pa.bool_())] * 3)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-            ["page_id", "url", "host", "tree", "layout", "slots", "hashes", "texts", "content"])
+            ["page_id", "url", "host", "tree", "layout", "slots", "hashes", "texts", "prose", "own", "chrome", "article"])
 
 
 def _merge_group(it):
@@ -352,48 +375,112 @@ def _map_slots(it):
              pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["host", "layout", "nodes"])
 
 
+def region(wrapper: list, prose: dict[int, float], articles: set[int]) -> tuple[int, int]:
+    """The content region as a range [first, end) of the wrapper's pre-order numbers.
+
+    ``prose`` is the varying prose of single nodes, ``articles`` those with
+    text inside an article. Equal subtrees: the first.
+    """
+    order = list(_preorder(wrapper))
+    number = {id(n): i for i, n in enumerate(order)}
+    end = [i + 1 for i in range(len(order))]
+    total = [prose.get(i, 0.0) for i in range(len(order))]
+    article = [i in articles for i in range(len(order))]
+    for i in reversed(range(len(order))):
+        for c in order[i][1]:
+            j = number[id(c)]
+            end[i], total[i], article[i] = max(end[i], end[j]), total[i] + total[j], article[i] or article[j]
+    at = 0
+    while True:
+        children = [number[id(c)] for c in order[at][1]]
+        # where a whole subtree is article, the weight tells nothing apart
+        weight = {j: total[j] * (ARTICLE_WEIGHT if article[j] else 1.0) for j in children}
+        best = max(children, key=lambda j: (weight[j], -j), default=None)
+        if best is None or weight[best] <= REGION_SHARE * (sum(weight.values()) + prose.get(at, 0.0)):
+            return at, end[at]
+        if total[best] - prose.get(best, 0.0) <= REGION_SHARE * total[best]:
+            return at, end[at]  # a run of text blocks: its parent is the container
+        at = best
+
+
+def _regions(it):
+    for rb in it:
+        rows = []
+        for host, wrapper, found in zip(*(rb.column(c).to_pylist() for c in ("host", "wrapper", "found"))):
+            first, end = region(unflat(wrapper), {f["node"]: f["prose"] for f in found}, {f["node"] for f in found if f["article"]})
+            texts = sum(f["texts"] for f in found if first <= f["node"] < end)
+            if texts >= MIN_PAGES:
+                rows.append((host, first, end))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+            (pa.string(), pa.int32(), pa.int32()))], ["host", "first", "end"])
+
+
+def _content_regions(parsed: DataFrame, nodes: DataFrame, wrapper: DataFrame) -> DataFrame:
+    """(host, first, end) of every host with ``MIN_PAGES`` distinct texts in its region."""
+    blocks = parsed.join(nodes, ["host", "layout"]).select("host", F.explode(F.arrays_zip(
+        F.transform("slots", lambda s: F.get("nodes", s)).alias("node"), "hashes", "prose", "article")).alias("b"))
+    texts = blocks.where("b.node >= 0 and b.prose > 0").groupBy("host", F.col("b.node").alias("node"), F.col("b.hashes").alias("hash")).agg(
+        F.max("b.prose").alias("n"), F.max("b.article").alias("article"))
+    found = texts.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("n") / (F.col("n") + SHORT_TEXT)).alias("prose"),
+                                              F.count(F.lit(1)).alias("texts"), F.max("article").alias("article"))
+    # a row per wrapper node at most, beside the wrapper itself
+    by_host = found.groupBy("host").agg(F.collect_list(F.struct("node", "prose", "texts", "article")).alias("found"))
+    return wrapper.join(by_host, "host").mapInArrow(_regions, "host string, first int, end int")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Hosts are those of ``urlfilter.url_parts`` ('' for a null or odd url, which
     is one host of its own). Null or empty html gives an empty text. Pages
     of the same main text count once as evidence, whatever menus, adverts or
-    layout stand around it, and a host of fewer than ``MIN_PAGES``
-    distinct pages has no template texts, so a repeated page keeps its text.
-    Rows may repeat and have null ids, other columns are ignored, an empty
-    table gives an empty result.
+    layout stand around it. A host with fewer than ``MIN_PAGES`` distinct texts
+    in its region is read page by page, and one of fewer distinct pages has no
+    template texts, so a repeated page keeps its text. Rows may repeat and have
+    null ids, other columns are ignored, an empty table gives an empty result.
     """
     host, _ = url_parts(F.col("url"))
     parsed = materialize(
         pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html").mapInArrow(
             _parse_pages, "page_id long, url string, host string, tree string, layout long, slots array<int>, "
-                          "hashes array<long>, texts array<string>, content long"), "html-pages")
+                          "hashes array<long>, texts array<string>, prose array<int>, own array<boolean>, "
+                          "chrome array<boolean>, article array<boolean>"), "html-pages")
     layouts = parsed.groupBy("host", "layout").agg(F.first("tree").alias("tree"))
-    wrapper = wrappers(layouts)
+    wrapper = materialize(wrappers(layouts), "html-host-wrappers")
     nodes = materialize(layouts.join(wrapper, "host").mapInArrow(_map_slots, "host string, layout long, nodes array<int>"),
                         "html-slots")
-    evidence = parsed.groupBy("host", "layout", "content").agg(
-        F.first(F.struct("slots", "hashes")).alias("e")).join(nodes, ["host", "layout"])
-    seen = evidence.select("host", "content", F.explode(F.arrays_zip(
-        F.transform("e.slots", lambda s: F.get("nodes", s)).alias("node"), F.col("e.hashes").alias("hash"))).alias("t")).select(
-        "host", "content", "t.node", "t.hash")
+    regions = materialize(_content_regions(parsed, nodes, wrapper), "html-regions")
+
+    def main_blocks(*columns: str) -> DataFrame:
+        """The pages' main blocks as arrays of (node, hash, own columns)."""
+        block = F.arrays_zip(F.transform("slots", lambda s: F.get("nodes", s)).alias("node"), F.col("hashes").alias("hash"),
+                             "own", "chrome", *columns)
+        inside = F.filter("blocks", lambda b: F.when(b["node"] >= 0, (b["node"] >= F.col("first")) & (b["node"] < F.col("end"))
+                                                     & ~b["chrome"]).otherwise(b["own"]))
+        own = F.filter("blocks", lambda b: b["own"])
+        known = F.exists("blocks", lambda b: (b["node"] >= F.col("first")) & (b["node"] < F.col("end")) & ~b["chrome"])
+        return parsed.join(nodes, ["host", "layout"], "left").join(regions, "host", "left").withColumn("blocks", block).withColumn(
+            "main", F.when(F.coalesce(known, F.lit(False)), inside).otherwise(own))
+
+    seen_pages = main_blocks().select("host", "layout", F.transform("main", lambda b: F.struct(b["node"], b["hash"])).alias("main"),
+                                      F.xxhash64(F.transform("main", lambda b: b["hash"])).alias("content"))
+    evidence = seen_pages.groupBy("host", "layout", "content").agg(F.first("main").alias("main"))
+    seen = evidence.select("host", "content", F.explode("main").alias("b")).select(
+        "host", "content", F.col("b.node").alias("node"), F.col("b.hash").alias("hash"))
     n_pages = evidence.groupBy("host").agg(F.count_distinct("content").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     counts = seen.distinct().groupBy("host", "node", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     # at most 1 / CONSTANT_SHARE times the texts of a page can stand on that share of the pages
     template = counts.join(n_pages, "host").where(F.col("n") >= F.col("pages") * CONSTANT_SHARE).groupBy("host").agg(
         F.collect_set(F.struct("node", "hash")).alias("constant"))
-    placed = parsed.join(nodes, ["host", "layout"], "left").join(materialize(template, "html-template"), "host", "left")
-    block = F.arrays_zip(F.transform("slots", lambda s: F.get("nodes", s)).alias("node"), F.col("hashes").alias("hash"),
-                         F.col("texts").alias("text"))
-    kept = F.filter(block, lambda b: F.col("constant").isNull() | ~F.exists(
+    placed = main_blocks("texts").join(materialize(template, "html-template"), "host", "left")
+    kept = F.filter("main", lambda b: F.col("constant").isNull() | ~F.exists(
         F.coalesce("constant", F.array().cast("array<struct<node:int,hash:bigint>>")),
         lambda c: (c["node"] == b["node"]) & (c["hash"] == b["hash"])))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
+    text = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
     return placed.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def text_of_page(source: str | None) -> str:
     """One page's text without a host's wrapper: what its article, or else its blocks outside chrome, hold."""
     _, blocks = parse(source or "")
-    main = [t for n, t in blocks if n.article and not n.chrome] or [t for n, t in blocks if not n.chrome]
-    return " ".join(main)
+    return " ".join(t for (_, t, _), own in zip(blocks, _own_main(blocks)) if own)

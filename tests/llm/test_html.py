@@ -1,3 +1,7 @@
+import re
+import zlib
+from urllib.parse import urlsplit
+
 from ordlens.llm import html
 
 PAGES = "page_id long, url string, html string, text string, host int"
@@ -81,3 +85,44 @@ def test_very_deep_pages_return(spark):
 def test_flat_trees_come_back():
     tree = ["r", [["x", [["p", []], ["q", [["z", []]]]]], ["y", []]]]
     assert html.unflat(html.flat(tree)) == tree
+
+
+def test_region_is_the_container_of_most_varying_prose():
+    #        0 r   1 menu          2 side            3 box   4 h    5 p (run)   6 note  7 q
+    tree = ["r", [["menu", []], ["side", []], ["box", [["h", []], ["p", []], ["note", [["q", []]]]]]]]
+    assert html.region(tree, {1: 10, 2: 300, 4: 50, 5: 900, 7: 40}, set()) == (3, 8)
+    assert html.region(tree, {2: 300, 5: 200}, set()) == (0, 8)  # the larger part is one run of text: its parent
+    assert html.region(tree, {2: 300, 4: 60, 5: 110, 7: 50}, {4, 5, 7}) == (3, 8)  # up to twice the prose of an article
+    assert html.region(tree, {}, set()) == (0, 8)
+
+
+def renamed(source, host):
+    """The page with its containers as div and class names made up per host, so that no name tells what is content."""
+    for tag in ("article", "nav", "footer", "aside", "header"):
+        source = re.sub(rf"<{tag}\b", f'<div class="{tag}"', source.replace(f"</{tag}>", "</div>"))
+    return re.sub(r'class="([^"]*)"', lambda m: f'class="x{zlib.crc32((host + m[1]).encode())}"', source)
+
+
+def test_wrapper_finds_the_article_without_names(spark):
+    """Every page of the test table with its containers renamed to div and all class names scrambled."""
+    rows, want = [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        host = urlsplit(r.url or "").netloc.lower()
+        rows.append((r.page_id, r.url, renamed(r.html or "", host), None, None))
+        want[r.page_id] = html.text_of_page(r.html)
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    same = sum(got[i] == want[i] for i in want)
+    assert same >= 0.95 * len(want), same / len(want)
+
+
+def test_teasers_and_sidebars_vary_but_are_not_the_region(spark):
+    rows = []
+    for i in range(30):
+        teasers = "".join(f"<div class=k{j}><a href=/t>Other story {i} {j} with a fairly long teaser line</a></div>" for j in range(6))
+        side = f"<div class=s><p>Today {i}: sunny</p><p>Poll {i}</p></div>"
+        story = f"<h1>Head {i}</h1>" + "".join(f"<p>{f'Sentence {i} {j} goes on. ' * 8}</p>" for j in range(i % 5 + 1))
+        rows.append((i, f"http://t.com/{i}", page(f"<div class=z1>{teasers}</div><div class=z2><div class=z3>{story}</div>{side}</div>"),
+                     "x", 1))
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(30):
+        assert by[i] == f"Head {i} " + " ".join(("Sentence %d %d goes on. " % (i, j) * 8).strip() for j in range(i % 5 + 1))
