@@ -420,7 +420,7 @@ def _content_regions(parsed: DataFrame, nodes: DataFrame, wrapper: DataFrame) ->
     blocks = parsed.join(nodes, ["host", "layout"]).select("host", F.explode(F.arrays_zip(
         F.transform("slots", lambda s: F.get("nodes", s)).alias("node"), "hashes", "prose", "article")).alias("b"))
     texts = blocks.where("b.node >= 0 and b.prose > 0").groupBy("host", F.col("b.node").alias("node"), F.col("b.hashes").alias("hash")).agg(
-        F.max("b.prose").alias("n"), F.max("b.article").alias("article"))
+        F.max("b.prose").cast("double").alias("n"), F.max("b.article").alias("article"))
     found = texts.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("n") / (F.col("n") + SHORT_TEXT)).alias("prose"),
                                               F.count(F.lit(1)).alias("texts"), F.max("article").alias("article"))
     # a row per wrapper node at most, beside the wrapper itself

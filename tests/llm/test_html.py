@@ -126,3 +126,10 @@ def test_teasers_and_sidebars_vary_but_are_not_the_region(spark):
     by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     for i in range(30):
         assert by[i] == f"Head {i} " + " ".join(("Sentence %d %d goes on. " % (i, j) * 8).strip() for j in range(i % 5 + 1))
+
+
+def test_very_long_blocks_are_measured(spark):
+    rows = [(i, f"http://l.com/{i}", page(f"<div class=a>Menu {i}</div><div class=b><h1>Head {i}</h1><p>{f'word{i} ' * 20_000}</p></div>"),
+             None, None) for i in range(9)]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(by[i] == f"Head {i} " + (f"word{i} " * 20_000).strip() for i in range(9))
