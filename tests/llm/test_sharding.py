@@ -41,3 +41,20 @@ def test_edge_rows(spark):
     assert sorted((str(r.doc_id), r.n_bytes) for r in rows) == sorted((str(r[0]), len((r[1] or "").encode())) for r in edge_rows())
     check(rows, 1000)
     assert extendible_shards(no_docs(spark), 1000).count() == 0
+
+
+def test_climb_equals_direct_directory(spark):
+    """Every bucket is the shortest prefix whose bytes fit, and no round of the climb sums over more than 2^STEP nodes."""
+    import hashlib
+
+    docs = spark.createDataFrame([(i, "x" * (1 + (i * 7) % 90)) for i in range(3000)], "doc_id long, text string")
+    size = {i: 1 + (i * 7) % 90 for i in range(3000)}
+    bits = {i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i in size}
+    for limit in (100, 1500, 40_000, 10**6):
+        below = defaultdict(lambda: [0, 0])
+        for i, b in bits.items():
+            for d in range(41):
+                below[b[:d]][0] += size[i]
+                below[b[:d]][1] += 1
+        want = {i: next(b[:d] for d in range(41) if below[b[:d]][0] <= limit or below[b[:d]][1] == 1) for i, b in bits.items()}
+        assert {r.doc_id: r.shard for r in extendible_shards(docs, limit).collect()} == want
