@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import join_null_safe
 from ..session import materialize
+from .prefix import BLOCK, TIE, ordered_blocks
 
 FEATURES_NUMERIC = [
     "price_inr", "discount_pct", "customer_tenure_days", "num_previous_orders",
@@ -57,30 +59,28 @@ def line_aggregates(lineitem: DataFrame) -> DataFrame:
 
 def prior_counts(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
                  out_count: str, out_sum: str, out_first: str) -> DataFrame:
-    """Running count and sum of earlier rows per ``key`` ordered by (ts, tiebreak).
+    """Running count and sum of earlier rows per ``key`` ordered by (ts, tiebreak), and the key's first day.
 
-    Skew-safe two-level prefix: rows are first summarised per (key, day),
-    a small table whose window per key has at most one row per day; the
-    offsets are joined back and only rows of the same (key, day) are ranked
-    together. A key holding a third of all rows is therefore spread over its
-    days instead of sorted in a single task. Also returns the key's first day.
+    Rows are dealt into ranges of (key, ts, tiebreak) and written once
+    (:func:`.prefix.ordered_blocks`); counts and sums of a key's earlier
+    ranges are added to those inside a row's own. A key holding a third of all
+    rows, on one day or on many, is spread over its ranges.
     """
-    day = F.to_date(F.col(ts))
-    with_day = df.withColumn("_day", day)
-    per_day = with_day.groupBy(key, "_day").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-    w_prev = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(
-        key, "_day",
-        F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off_n"),
-        F.coalesce(F.sum("_s").over(w_prev), F.lit(0)).alias("_off_s"),
+    d = materialize(ordered_blocks(df, key, ts, tiebreak), "order-core")
+    per_block = d.groupBy(key, BLOCK).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"), F.min(F.to_date(ts)).alias("_day"))
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(
+        key, BLOCK,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"),
         F.min("_day").over(Window.partitionBy(key)).alias(out_first))
-    w_in = Window.partitionBy(key, "_day").orderBy(ts, tiebreak)
-    return (with_day.join(offsets, [key, "_day"])
-            .withColumn(out_count, (F.col("_off_n") + F.row_number().over(w_in) - 1).cast("int"))
+    inside = Window.partitionBy(key, BLOCK).orderBy(ts, TIE)
+    return (join_null_safe(d, offsets, [key, BLOCK])
+            .withColumn(out_count, (F.col("_off_n") + F.row_number().over(inside) - 1).cast("int"))
             .withColumn(out_sum, (F.col("_off_s") + F.coalesce(
-                F.sum(value).over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
-            .drop("_day", "_off_n", "_off_s"))
+                F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
+            .drop(BLOCK, TIE, "_off_n", "_off_s"))
 
 
 def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
@@ -88,9 +88,9 @@ def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
     """D1 order table built from the base tables (FIXTURES section 2).
 
     The prior-order counts need only the order core (customer, date, label),
-    so they run before the dimension lookups. :func:`prior_counts` reads the
-    core twice, so the core (one row per order) is written once: lineitem is
-    scanned and shuffled a single time.
+    so they run before the dimension lookups. :func:`prior_counts` writes the
+    core (one row per order) once: lineitem is scanned and shuffled a single
+    time.
     """
     la = line_aggregates(lineitem)
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -98,7 +98,6 @@ def order_features(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
             .select(F.col("o_orderkey").alias(KEY), "o_custkey", "o_orderdate", "o_orderpriority",
                     "price_inr", "discount_pct", "first_ship", "top",
                     (F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int").alias(LABEL)))
-    core = materialize(core, "order-core")
     with_prior = prior_counts(core, "o_custkey", "o_orderdate", KEY, LABEL,
                               "num_previous_orders", "num_previous_returns", "_first_day")
     full = (with_prior

@@ -8,7 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ordlens.functions import text as TX
+from ordlens.operators import features as FT
+from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
+from ordlens.operators import prefix as PX
 from ordlens.operators import retrieval as R
 from ordlens.operators import search as SE
 from ordlens.operators import routing as RT
@@ -206,3 +209,46 @@ def test_py_strip_matches_python(spark):
     s = "　\x1c a b  \t"
     got = spark.range(1).select(TX.py_strip(F.lit(s)).alias("x")).first().x
     assert got == s.strip()
+
+
+def test_running_values_of_a_hot_key_span_ranges(spark):
+    """One conversation with most rows, all of one turn or none; a customer's orders all on one day: no block holds them."""
+    rows = [(1, None if i % 3 == 0 else 7, f"r{i}" if i % 50 == 0 else None, i) for i in range(400)]
+    rows += [(2, t, None, t) for t in range(5)] + [(None, 1, "x", 0), (None, 2, None, 1)]
+    df = spark.createDataFrame(rows, "conv long, turn long, ref string, i long")
+    blocks = PX.ordered_blocks(df, "conv", "turn", rows=40).groupBy(PX.BLOCK).count().collect()
+    assert len(blocks) > 6 and max(r["count"] for r in blocks) < 200
+    got = RT.turn_positions(df, "conv", "turn", bucket=40).collect()
+    assert len(got) == len(rows)
+    for conv in (1, 2, None):
+        own = sorted((r for r in got if r.conv == conv), key=lambda r: r.n_history)
+        assert [r.n_history for r in own] == list(range(len(own)))
+        turns = [r.turn for r in own]
+        assert turns == sorted(turns, key=lambda t: (t is not None, t))
+        assert [r.prev_turn for r in own][1:] == turns[:-1]
+    order = {(r.conv, r.i): r.n_history for r in got}
+    carried = {(r.conv, r.i): r.carried for r in RT.carry_forward(df, "conv", "turn", "ref", "carried", bucket=40).collect()}
+    assert carried[(None, 1)] == "x"
+    last = None
+    for i in sorted(range(400), key=lambda i: order[(1, i)]):
+        last = f"r{i}" if i % 50 == 0 else last
+        assert carried[(1, i)] == last
+    day = spark.createDataFrame([(9, i, i % 2) for i in range(300)] + [(8, 1000, 1)], "c long, k long, y int").withColumn(
+        "d", F.lit("2020-01-05").cast("date"))
+    out = {r.k: r for r in FT.prior_counts(day, "c", "d", "k", "y", "n", "s", "first").collect()}
+    assert [(out[i].n, out[i].s) for i in range(300)] == [(i, i // 2) for i in range(300)]
+    assert (out[1000].n, out[1000].s, str(out[1000].first)) == (0, 0, "2020-01-05")
+    assert FT.prior_counts(day.where("false"), "c", "d", "k", "y", "n", "s", "first").count() == 0
+
+
+def test_permuted_rows_change_one_feature(spark):
+    df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("a"), F.when(
+        F.col("id") % 5 > 0, F.col("id").cast("string")).alias("b"), (F.col("id") % 2).alias("label"))
+    donor = {(r.repeat, r.k): r.donor_key for r in SM.permutation_pairs(df, "k", 3, 4).collect()}
+    got = IM.permuted_rows(df, "k", ["a", "b"], 3, 4).collect()
+    name = lambda i: str(i) if i % 5 else None
+    assert len(got) == 60 * 3 * 2
+    for r in got:
+        d = donor[(r.repeat, r.k)]
+        assert (r.a, r.b) == ((d * 10, name(r.k)) if r.feature == "a" else (r.k * 10, name(d)))
+        assert r.label == r.k % 2
