@@ -10,6 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ordlens.operators import models as ML
+from ordlens.plans import risk as RK
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +43,13 @@ def test_logistic_save_reload_parity(spark, tiny):
     a = ML.positive_probability(model.transform(train)).select("id", "p")
     b = ML.positive_probability(again.transform(train)).select("id", F.col("p").alias("q"))
     assert a.join(b, "id").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] == 0.0
+
+
+def test_rows_that_choose_a_threshold(spark):
+    """Validation: fold 0 of the training rows, none of them a test row; test: the test rows; nothing else."""
+    train, test = RK.prepared(spark, SF)
+    val, on_test = RK.tuning_rows(spark, SF), RK.tuning_rows(spark, SF, "test")
+    assert val.count() == train.where("fold = 0").count() > 0
+    assert val.join(test, "order_id", "left_semi").isEmpty() and on_test.join(test, "order_id", "left_anti").isEmpty()
+    with pytest.raises(ValueError):
+        RK.tuning_rows(spark, SF, "train")
