@@ -17,6 +17,7 @@ column is labelled weakly: toxic texts that use one of its terms.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ from ordlens.llm.mil import annotate, held_out
 from ordlens.llm.minhash import batches
 from ordlens.llm.shingles import word_spans
 from ordlens.llm.tokens import release_memory
+from ordlens.session import materialize
 
 #: Categories in chain order with the terms that label them weakly; the last is the label itself.
 CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -39,9 +41,10 @@ CHAIN: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: Words in a passage.
 PASSAGE = 256
-#: The fit takes at most so many labelled documents of each class, of any length; of longer ones so many passages, evenly spread.
+#: The fit takes at most so many labelled documents of each class, of any length and whole. If their passages are more
+#: than the second number, each document gives the same share of its passages, evenly spread, and one at least.
 MAX_FIT_DOCS = 4000
-MAX_FIT_PASSAGES = 12
+MAX_FIT_PASSAGES = 48_000
 #: Features that a link keeps; the fewest texts that must have one, the largest share of clean texts that may, the least z score.
 MAX_FEATURES = 1024
 MIN_TEXTS = 3
@@ -57,19 +60,17 @@ _HOT = 1 << 16
 _RARE = 1 << 22
 
 
-def features(texts: list[str | None], most: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+def features(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each passage's distinct features (hashes of its words and word beginnings, A-Z lower-cased), each text's passages.
 
-    A text without words is one empty passage. Of more than ``most`` passages, that many evenly spread ones are taken.
+    A text without words is one empty passage.
     """
     _, start, end, hashes, counts = word_spans(texts, _GAP, PREFIXES)
     slots = [_slot(h, i) for i, h in enumerate(hashes)]
     long = [np.ones(len(start), bool), *((end - start) > n for n in PREFIXES)]
     sets, per = [], []
     for c, e in zip(counts.tolist(), np.cumsum(counts).tolist()):
-        heads = list(range(e - c, e, PASSAGE)) or [e]
-        if most and len(heads) > most:
-            heads = [heads[i * (len(heads) - 1) // (most - 1)] for i in range(most)]
+        heads = range(e - c, e, PASSAGE) or [e]
         for a in heads:
             b = min(a + PASSAGE, e)
             sets.append(np.unique(np.concatenate([s[a:b][m[a:b]] for s, m in zip(slots, long)])))
@@ -266,49 +267,74 @@ def best_cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((p[order][i] + low) / 2)
 
 
-def _sets(it):
-    for rb in batches(it, "text"):
-        sets, per = features(rb.column("text").to_pylist(), MAX_FIT_PASSAGES)
-        cuts = np.cumsum(per).tolist()
-        x = [[s.tobytes() for s in sets[b - n : b]] for b, n in zip(cuts, per.tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [rb.column("doc_id"), rb.column("targets"), rb.column("weight"), pa.array(x, pa.list_(pa.binary()))],
-            ["doc_id", "targets", "weight", "x"])
+def _passages(weak: list[tuple[str, ...]]):
+    """Rows of passages: (doc_id, targets, weight, digest, n, at, found, x), ``found`` saying which ``weak`` terms the whole text has."""
+    def run(it):
+        terms = [term_slots(t) for t in weak]
+        for rb in batches(it, "text"):
+            texts = rb.column("text").to_pylist()
+            sets, per = features(texts)
+            first = np.cumsum(per) - per
+            row = pa.array(np.repeat(np.arange(len(per)), per))
+            at = np.arange(len(sets)) - np.repeat(first, per)
+            digest = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            found = [np.maximum.reduceat([np.isin(t, s).any() for s in sets], first).astype(np.int32) for t in terms]
+            found = [list(f) for f in zip(*(f.tolist() for f in found))] if terms else [[]] * len(per)
+            cols = [rb.column("doc_id"), rb.column("targets"), rb.column("weight"), pa.array(digest, pa.string()), pa.array(per)]
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(row) for c in cols), pa.array(at, pa.int64()), pa.array(found, pa.list_(pa.int32())).take(row),
+                 pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "targets", "weight", "digest", "n", "at", "found", "x"])
+        release_memory()
+
+    return run
+
+
+def thinned(rows: DataFrame, side: str, most: int) -> DataFrame:
+    """Passages (``n`` of a text, numbered ``at`` from 0) as they are, or an even share of each text's where a side has over ``most``."""
+    share = rows.groupBy(side).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("_share"))  # two rows
+    taken = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * F.col("_share")))
+    return rows.join(F.broadcast(share), side).where(
+        F.floor((F.col("at") + 1) * taken / F.col("n")) > F.floor(F.col("at") * taken / F.col("n"))).drop("_share")
 
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain:
     """The chain fitted on at most ``MAX_FIT_DOCS`` documents of each class outside the held-out fold.
 
-    Rows are weighted back to the classes' true shares.
+    Rows are weighted back to the classes' true shares. Passages beyond
+    ``MAX_FIT_PASSAGES`` of a class are thinned evenly; weak labels come from
+    whole texts all the same.
     """
     names = [c for c, _ in chain]
     given = [c for c in names if c in labels.columns]
+    weak = [(c, t) for c, t in chain if c not in given]
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(names[-1]).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c).cast("int").alias(c) for c in given])
     sizes = {r[0]: r[1] for r in lab.groupBy(F.col(names[-1]) > 0).count().collect()}
     parts = [lab.where((F.col(names[-1]) > 0) == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_DOCS).withColumn(
         "weight", F.lit(max(sizes.get(side, 0) / MAX_FIT_DOCS, 1.0))) for side in (True, False)]
     some = parts[0].union(parts[1]).select("doc_id", F.array(*given).alias("targets"), "weight")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    passages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(some), "doc_id").mapInArrow(  # at most 2 x MAX_FIT_DOCS rows
-        _sets, "doc_id long, targets array<int>, weight double, x array<binary>").dropDuplicates().orderBy("doc_id", "x").toArrow()
+        _passages([t for _, t in weak]), "doc_id long, targets array<int>, weight double, digest string, n long, at long, "
+        "found array<int>, x binary").dropDuplicates(["doc_id", "digest", "at"])
+    passages = materialize(passages.withColumn("side", F.col("targets")[len(given) - 1] > 0), "chain-passages")
+    rows = thinned(passages, "side", MAX_FIT_PASSAGES).orderBy("doc_id", "digest", "at").toArrow()
     if not rows.num_rows:
         return Chain(names, [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), -10.0) for i in range(len(names))])
-    bags = rows.column("x").chunks
-    per = np.concatenate([b.value_lengths().to_numpy() for b in bags]).astype(np.int64)
-    sets = [np.frombuffer(x.as_buffer(), np.int64) for b in bags for x in b.flatten()]
-    got = np.array(rows.column("targets").to_pylist(), float)
+    ids, digests = (np.array(rows.column(c).to_pylist()) for c in ("doc_id", "digest"))
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])))
+    per = np.diff(np.append(first, len(ids)))
+    sets = [np.frombuffer(x.as_buffer(), np.int64) for b in rows.column("x").chunks for x in b]
+    head = rows.select(["targets", "found", "weight"]).take(pa.array(first))
+    got, found = (np.array(head.column(c).to_pylist(), float) for c in ("targets", "found"))
     toxic = (got[:, given.index(names[-1])] > 0).astype(float)
-    targets = {}
-    for name, terms in chain:
-        if name in given:
-            targets[name] = (np.nan_to_num(got[:, given.index(name)]) > 0).astype(float)
-        else:
-            t = term_slots(terms)
-            targets[name] = toxic * np.maximum.reduceat([np.isin(t, s).any() for s in sets], np.cumsum(per) - per)
-    ids, weight = rows.column("doc_id").to_pylist(), np.array(rows.column("weight").to_pylist(), float)
+    columns = {c: (np.nan_to_num(got[:, i]) > 0).astype(float) for i, c in enumerate(given)} | {
+        c: toxic * found[:, i] for i, (c, _) in enumerate(weak)}
+    targets = {c: columns[c] for c in names}
+    ids, weight = ids[first].tolist(), np.array(head.column("weight").to_pylist(), float)
     sets = _frequent(sets)  # the driver holds the gathered rows no longer than it must
-    del rows, bags
+    del rows, head, digests
     release_memory()
     return fit_chain(ids, sets, targets, weight, per)
 

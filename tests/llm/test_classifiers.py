@@ -145,3 +145,22 @@ def test_long_joins_of_held_out_clean_texts(spark):
     both = docs.union(spark.createDataFrame(long, docs.schema))
     got = toxicity.toxicity_scores(both, table(spark, sf, "labels").select("doc_id", "toxic"))
     assert got.where(f"doc_id >= {10**9} and rejected").count() == 0
+
+
+def test_long_labelled_texts_are_read_whole(spark, monkeypatch):
+    """A term in any passage labels its text; over the bound every text gives an even share of its passages, one at least."""
+    words = lambda n, tag: " ".join(f"{tag}{i % 97}" for i in range(n))
+    far = words(5000, "w") + " idiot " + words(3000, "v")  # 32 passages, the term in the twentieth
+    docs = spark.createDataFrame([(i, far) for i in range(1, 9)] + [(i, words(300, "w")) for i in range(9, 30)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 9)) for i in range(1, 30)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda ids, sets, targets, weight, per: seen.append((ids, targets, per)))
+    for most in (48_000, 40):
+        monkeypatch.setattr(toxicity, "MAX_FIT_PASSAGES", most)
+        toxicity.train(docs.union(docs), lab)
+    ids = [i for i in range(1, 30) if not held(i)]
+    for (got, targets, per), share in zip(seen, (1, 40 / (32 * sum(i < 9 for i in ids)))):
+        assert got == ids and targets["demeaning"].tolist() == targets["toxic"].tolist() == [float(i < 9) for i in ids]
+        assert targets["contempt"].tolist() == [0.0] * len(ids)
+        assert [p for i, p in zip(ids, per) if i < 9] == [int(32 * share)] * sum(i < 9 for i in ids)
+        assert {p for i, p in zip(ids, per) if i >= 9} == {2}  # at most 40 passages, read whole
