@@ -252,3 +252,38 @@ def test_permuted_rows_change_one_feature(spark):
         d = donor[(r.repeat, r.k)]
         assert (r.a, r.b) == ((d * 10, name(r.k)) if r.feature == "a" else (r.k * 10, name(d)))
         assert r.label == r.k % 2
+
+
+def test_count_blocks_hold_all_counts_and_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    """Repeated ids are one vector, null ids none; several blocks of chunks and queries give the hits of one of each."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i % 70}", " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(90)] + [(None, "w1 w1 w2"), ("z", "...")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    slots = TO.term_slots(df, "id", "text", 64)
+    tf = TO.term_counts(df, "id", "text", 64)
+    want = {(r.id, r._j): r._tf for r in tf.where("id IS NOT NULL").collect()}
+    monkeypatch.setattr(SE, "BLOCK_CHARS", 500)
+    blocks = SE.materialize(SE.count_blocks(slots, "id", len(rows), 4000), "counts")
+    assert blocks.count() > 3
+    got = {}
+    for b in blocks.collect():
+        for n, j in enumerate(b.j):
+            for at in range(b.first[n], b.first[n + 1]):
+                assert (b.ids[b.row[at]], j) not in got
+                got[b.ids[b.row[at]], j] = b.tf[at]
+    assert got == want
+    df_of = {r.j: r.df for r in SE.block_frequencies(blocks).collect()}
+    assert df_of == {j: sum(1 for _, k in want if k == j) for j in {k for _, k in want}}
+    idf = TO.fit_idf(tf.where("id IS NOT NULL"), 71)
+    vec = {r.id: (r.idx, r.val) for r in TO.tfidf_vectors(tf.where("id IS NOT NULL"), idf, "id").collect()}
+    mine = {r.id: (r.idx, r.val) for r in SE.count_vectors(blocks, idf, 64, "id").collect()}
+    assert mine.keys() == vec.keys()
+    assert all(mine[i][0] == vec[i][0] and np.allclose(mine[i][1], vec[i][1], atol=1e-12, rtol=0) for i in vec)
+    terms = idf.withColumnRenamed("_j", "j")
+    q = SE.query_weights(tf.where("id IS NOT NULL").withColumnRenamed("id", "q"), terms, "q")
+    weights = SE.count_weights(blocks, idf, 64)
+    hits = lambda: sorted((r.q, r["rank"], r.vec_id, round(r.score, 9)) for r in SE.block_topk(q, weights, 4, "q").collect())
+    one = hits()
+    monkeypatch.setattr(SE, "BLOCK_QUERIES", 9)
+    assert hits() == one and len({x[0] for x in one}) == len(vec)
