@@ -1,11 +1,22 @@
 """Work that must not grow faster than the rows: one scoring per row, one shuffle of wide rows, bounded tasks."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
 
 
+def _plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
 def test_auc_scores_every_row_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
@@ -20,3 +31,12 @@ def test_auc_scores_every_row_once(spark):
     pairs = [((i % 7), int(i % 3 == 0)) for i in range(2, 200)]
     pos, neg = [p for p, y in pairs if y], [p for p, y in pairs if not y]
     assert tuple(got) == (len(pos), len(neg), sum(2 * (b < a) + (b == a) for a in pos for b in neg))
+
+
+def test_permuted_rows_are_dealt_by_copies(spark, monkeypatch):
+    hold = spark.range(50).withColumns({"a": F.col("id") * 2, "b": F.col("id") % 3})
+    usual = sorted(map(tuple, IM.permuted_rows(hold, "id", ["a", "b"], 4, 1).collect()))
+    monkeypatch.setattr(IM, "COPIES", 40)
+    many = IM.permuted_rows(hold, "id", ["a", "b"], 4, 1)
+    assert "REPARTITION_BY_NUM" in _plan(many) and "hashpartitioning(id" in _plan(many)
+    assert sorted(map(tuple, many.collect())) == usual and len(usual) == 50 * 2 * 4
