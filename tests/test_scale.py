@@ -2,10 +2,12 @@
 
 import contextlib
 import io
+import random
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ordlens.operators import features as FT
 from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
 
@@ -33,6 +35,33 @@ def test_auc_scores_every_row_once(spark):
     assert tuple(got) == (len(pos), len(neg), sum(2 * (b < a) + (b == a) for a in pos for b in neg))
 
 
+def test_prior_counts_broadcast_only_keys_of_several_ranges(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, 1, 1, 1, 2, 3]), f"2020-01-{rng.randint(1, 9):02d}", rng.randint(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, k int, day string, v int").withColumn("ts", F.to_timestamp("day"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = FT.prior_counts(df, "k", "ts", "id", "v", "n", "s", "first")
+        assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" in _plan(out)
+        got = {r["id"]: (r["n"], r["s"], str(r["first"])) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for i, k, day, _ in data:
+        mine = [r for r in data if r[1] == k]
+        earlier = [r for r in mine if (r[2], r[0]) < (day, i)]
+        assert got[i] == (len(earlier), sum(r[3] for r in earlier), min(r[2] for r in mine))
+
+
+def test_top_line_is_one_narrow_buffer(spark):
+    lines = [(1, 5, 9, 1, 10.0), (1, 5, 7, 2, 10.0), (1, 6, 1, 3, 10.0), (1, 1, 1, 4, 9.0), (2, None, 3, 1, None), (2, 8, None, 2, None)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double").withColumns(
+        {"l_discount": F.lit(0.1), "l_returnflag": F.lit("R"), "l_shipdate": F.lit("2020-01-01").cast("timestamp")})
+    out = FT.line_aggregates(df)
+    assert {r["l_orderkey"]: tuple(r["top"]) for r in out.collect()} == {1: (5, 7), 2: (8, None)}
+    assert "max_by" not in _plan(out)
+
+
 def test_permuted_rows_are_dealt_by_copies(spark, monkeypatch):
     hold = spark.range(50).withColumns({"a": F.col("id") * 2, "b": F.col("id") % 3})
     usual = sorted(map(tuple, IM.permuted_rows(hold, "id", ["a", "b"], 4, 1).collect()))
