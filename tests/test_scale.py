@@ -10,6 +10,8 @@ from pyspark.sql.types import DoubleType
 from ordlens.operators import features as FT
 from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
+from ordlens.operators import models as ML
+from ordlens.operators import stats as ST
 
 
 def _plan(df) -> str:
@@ -69,3 +71,33 @@ def test_permuted_rows_are_dealt_by_copies(spark, monkeypatch):
     many = IM.permuted_rows(hold, "id", ["a", "b"], 4, 1)
     assert "REPARTITION_BY_NUM" in _plan(many) and "hashpartitioning(id" in _plan(many)
     assert sorted(map(tuple, many.collect())) == usual and len(usual) == 50 * 2 * 4
+
+
+def test_medians_share_one_histogram(spark, monkeypatch):
+    sizes, array = [], F.array
+    monkeypatch.setattr(ST.F, "array", lambda *a: sizes.append(len(a)) or array(*a))
+    values = [(float(v), float(-v)) for v in (5, 1, 9, 4, 4, 7)] + [(None, float("nan"))]
+    assert ST.exact_medians(spark.createDataFrame(values, "x double, y double"), ["x", "y"]) == {"x": 4.5, "y": -4.5}
+    assert sizes[0] == 2  # a histogram per column, not per middle rank
+
+
+def test_forest_rows_are_spread_and_big_grids_fit_one_by_one(spark, monkeypatch):
+    rows = spark.range(100).coalesce(1)
+    assert ML.spread(rows, "id").rdd.getNumPartitions() == 1
+    assert ML.spread(rows, "id", 10).rdd.getNumPartitions() == 10 and ML.spread(rows, "id", 10).count() == 100
+    at_once = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(**kw):
+        at_once.append(kw["parallelism"])
+        raise Stop
+
+    monkeypatch.setattr(ML, "CrossValidator", stop)
+    est = ML.PreparedEstimator(ML.forest("label"), ["id"], [])
+    for most in (1000, 50):
+        monkeypatch.setattr(ML, "SIDE_BY_SIDE_ROWS", most)
+        with contextlib.suppress(Stop):
+            ML.cross_validate(est, rows, {"numTrees": [1]}, "label")
+    assert at_once == [4, 1]
