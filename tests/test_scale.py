@@ -11,6 +11,7 @@ from ordlens.operators import features as FT
 from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
 from ordlens.operators import models as ML
+from ordlens.operators import sampling as SM
 from ordlens.operators import stats as ST
 
 
@@ -101,3 +102,26 @@ def test_forest_rows_are_spread_and_big_grids_fit_one_by_one(spark, monkeypatch)
         with contextlib.suppress(Stop):
             ML.cross_validate(est, rows, {"numTrees": [1]}, "label")
     assert at_once == [4, 1]
+
+
+def test_ranked_rows_are_shuffled_once(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([None, *range(150)]), rng.choice([None, 0, 1, 1, 1]), i) for i in range(300)]
+    df = spark.createDataFrame(data, "k long, c int, wide long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SM.ranked_within(df, ["c"], ["k"], 9, bucket_bits=3)
+        shuffles = [x for x in _plan(out).split("\n") if "Exchange hashpartitioning" in x]
+        got = out.withColumn("h", SM.seeded_hash(9, ["k"])).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(shuffles) == 4, shuffles  # bucket sizes, classes, offsets, and the rows once
+    assert out.columns == ["k", "c", "wide", "class_size", "rank_in_class"]
+    keyed = [r for r in got if r["k"] is not None]  # a null key has no hash, hence no bucket: its rows rank first
+    for c in (None, 0, 1):
+        mine = [r for r in got if r["c"] == c]
+        assert len(mine) == sum(d[1] == c for d in data) and {r["class_size"] for r in mine} == {len(mine)}
+        assert sorted(r["rank_in_class"] for r in mine) == list(range(1, len(mine) + 1))
+        by_rank = [(r["h"], r["k"]) for r in sorted((r for r in keyed if r["c"] == c), key=lambda r: r["rank_in_class"])]
+        assert by_rank == sorted(by_rank)
