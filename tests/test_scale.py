@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -13,6 +14,7 @@ from ordlens.operators import metrics as M
 from ordlens.operators import models as ML
 from ordlens.operators import sampling as SM
 from ordlens.operators import stats as ST
+from ordlens.plans import risk as RK
 
 
 def _plan(df) -> str:
@@ -125,3 +127,27 @@ def test_ranked_rows_are_shuffled_once(spark):
         assert sorted(r["rank_in_class"] for r in mine) == list(range(1, len(mine) + 1))
         by_rank = [(r["h"], r["k"]) for r in sorted((r for r in keyed if r["c"] == c), key=lambda r: r["rank_in_class"])]
         assert by_rank == sorted(by_rank)
+
+
+def test_forest_rows_are_shuffled_once_for_a_fit(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, i % 2, 1.0, float(rng.randint(0, 9)), rng.choice("ab"), rng.choice("xyz")) for i in range(120)]
+    df = spark.createDataFrame(rows, "order_id long, label int, w double, v double, product_category string, payment_method string")
+    df = df.select("*", *[F.col("v").alias(c) for c in FT.FEATURES_NUMERIC]).drop("v").coalesce(1)
+    read, forest, kept = [], ML.forest("label", 2, 2), lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    class Watched(Estimator):
+        def _fit(self, data):
+            read.append(_plan(data))
+            return forest.fit(data)
+
+    stages = ML.fit_prep_stages
+    monkeypatch.setattr(ML, "FIT_ROWS", 30)
+    monkeypatch.setattr(ML, "fit_prep_stages", lambda train, *a: read.append(_plan(train)) or stages(train, *a))
+    monkeypatch.setattr(RK, "estimator", lambda kind, train: Watched())
+    before = kept()
+    model = RK.fit("forest", df)
+    assert "REPARTITION_BY_NUM" not in read[0]  # statistics, a pass each, read the rows where they lie
+    assert "InMemoryTableScan" in read[1] and read[1].count("REPARTITION_BY_NUM") >= 1
+    assert kept() == before
+    assert model.transform(df).where("prediction is not null").count() == 120
