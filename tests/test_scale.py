@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 
+import pyarrow.parquet as pq
 from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,8 +14,11 @@ from ordlens.operators import importance as IM
 from ordlens.operators import metrics as M
 from ordlens.operators import models as ML
 from ordlens.operators import sampling as SM
+from ordlens.operators import search as SE
 from ordlens.operators import stats as ST
+from ordlens.operators import text as TO
 from ordlens.plans import risk as RK
+from ordlens.plans import text as PT
 
 
 def _plan(df) -> str:
@@ -151,3 +155,48 @@ def test_forest_rows_are_shuffled_once_for_a_fit(spark, monkeypatch):
     assert "InMemoryTableScan" in read[1] and read[1].count("REPARTITION_BY_NUM") >= 1
     assert kept() == before
     assert model.transform(df).where("prediction is not null").count() == 120
+
+
+def test_index_is_packed_in_place_and_searched_block_by_block(spark, tmp_path, monkeypatch):
+    """Repeated ids are one document and null ids none; a worker gets one block of chunks and one of queries, and no chunk is shuffled."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, ". ".join(" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(5))) for i in range(60)]
+    df = spark.createDataFrame(docs + [(3, "w1 w2 w3. w4"), (None, "w5 w6"), (61, "... !")], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(SE, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(SE, "BLOCK_QUERIES", 4)
+    PT.build_index(df, f"{tmp_path}/i")
+    index = PT.PolicyIndex(spark, f"{tmp_path}/i")
+    groups = [pq.ParquetFile(f).metadata for f in tmp_path.glob("i/counts/*.parquet")]
+    assert sum(m.num_rows for m in groups) == sum(m.num_row_groups for m in groups) > 10
+    assert not (tmp_path / "i/blocks").exists()  # weights follow from the counts
+    ids = [i for r in index.counts.select("ids").collect() for i in r.ids]
+    chunks = [r.chunk_id for r in index.chunks.collect() if r.chunk_id and r.text.strip(".! ")]
+    assert len(ids) == len(set(ids)) and set(ids) == set(chunks) and len(chunks) > len(ids)
+
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(12)], "q long, text string")
+    tf = TO.term_counts(index.chunks, "chunk_id", "text", PT.TFIDF_DIM)
+    vec = {}
+    for r in TO.tfidf_vectors(tf.where("chunk_id is not null"), index.terms.withColumnRenamed("j", "_j"), "chunk_id").collect():
+        vec[r.chunk_id] = dict(zip(r.idx, r.val))
+    asked = {r.q: dict(zip(r.idx, r.val)) for r in TO.tfidf_vectors(
+        TO.term_counts(q, "q", "text", PT.TFIDF_DIM), index.terms.withColumnRenamed("j", "_j"), "q").collect()}
+    want = set()
+    for i, terms in asked.items():
+        scores = {c: sum(w * v[j] for j, w in terms.items() if j in v) for c, v in vec.items() if terms.keys() & v.keys()}
+        best = sorted(scores, key=lambda c: (-round(scores[c], 9), c))[:3]
+        want |= {(i, n, c, round(scores[c], 6)) for n, c in enumerate(best, 1)}
+    rows_a_batch, plans, written = [], [], SE.materialize
+    monkeypatch.setattr(SE, "materialize", lambda df, name, **options: (
+        name == "best" and rows_a_batch.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), plans.append(_plan(df)),
+        written(df, name, **options))[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.q, r["rank"], r.vec_id, round(r.score, 6)) for r in index.top_k(q, "q", "text", 3).collect()} == want
+    assert len(rows_a_batch) >= 3 and set(rows_a_batch) == {"1"} and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
+    text_of = {}
+    for r in index.chunks.collect():
+        text_of.setdefault(r.chunk_id, set()).add(r.text)
+    hits = index.hits(q, "q", "text", 3).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in hits} == want and all(r.text in text_of[r.vec_id] for r in hits)
+    assert index.top_k(q.where("q < 0"), "q", "text", 3).collect() == []
