@@ -17,6 +17,7 @@ from ordlens.operators import sampling as SM
 from ordlens.operators import search as SE
 from ordlens.operators import stats as ST
 from ordlens.operators import text as TO
+from ordlens.plans import models as MP
 from ordlens.plans import risk as RK
 from ordlens.plans import text as PT
 
@@ -110,6 +111,26 @@ def test_forest_rows_are_spread_and_big_grids_fit_one_by_one(spark, monkeypatch)
     assert at_once == [4, 1]
 
 
+def test_the_whole_grid_is_registered_and_large_forests_fit_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(MP, "rf_grid_search", lambda spark, sf_dir, grid=None: grid or MP.RF_GRID)
+    assert MP.q_rf_grid(spark, "") == {"numTrees": [100, 200], "maxDepth": [6, 10, 30]}
+    at_once = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(**kw):
+        at_once.append(kw["parallelism"])
+        raise Stop
+
+    monkeypatch.setattr(ML, "CrossValidator", stop)
+    est = ML.PreparedEstimator(ML.forest("label"), ["id"], [])
+    for grid in (MP.SMALL_GRID, MP.RF_GRID):
+        with contextlib.suppress(Stop):
+            ML.cross_validate(est, spark.range(100_000), grid, "label")
+    assert at_once == [4, 1]
+
+
 def test_ranked_rows_are_shuffled_once(spark):
     rng = random.Random(5)
     data = [(rng.choice([None, *range(150)]), rng.choice([None, 0, 1, 1, 1]), i) for i in range(300)]
